@@ -48,3 +48,10 @@ def fold(doc_id: Column | str, parts: int) -> Column:
 
 def lower_a_to_z(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def stored(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a table as Parquet in the shared folder and read it again: lineage ends here."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import lsm_dedup, pareto_mix
+from . import bfd_packing, lsm_dedup, norm_topk, pareto_mix
 
 
 def queries() -> dict:
     return {
         "op2_pareto_mix": pareto_mix.op2_query,
         "op3_lsm_exact_dedup": lsm_dedup.op3_query,
+        "op5_norm_bucket_topk": norm_topk.op5_query,
+        "op6_best_fit_packing": bfd_packing.op6_query,
     }
 
 
@@ -16,4 +18,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_pareto_mix": pareto_mix.OP2_SQL,
         "op3_lsm_exact_dedup": lsm_dedup.OP3_SQL,
+        "op5_norm_bucket_topk": norm_topk.OP5_SQL,
     }
