@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bfd_packing, lsm_dedup, norm_topk, pareto_mix
+from . import bfd_packing, knn_quality, language_id, lsm_dedup, norm_topk, pareto_mix
 
 
 def queries() -> dict:
     return {
+        "op1_knn_quality": knn_quality.op1_query,
         "op2_pareto_mix": pareto_mix.op2_query,
         "op3_lsm_exact_dedup": lsm_dedup.op3_query,
+        "op4_language_hierarchy": language_id.op4_query,
         "op5_norm_bucket_topk": norm_topk.op5_query,
         "op6_best_fit_packing": bfd_packing.op6_query,
     }

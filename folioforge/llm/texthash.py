@@ -80,8 +80,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `limit` bytes of text each (one row at least)."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `limit` bytes of text and at most `rows` rows each (one row at least)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -90,7 +90,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         start = 0
         while start < n:
             end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-            end = min(max(end, start + 1), n)
+            end = min(max(end, start + 1), start + rows, n)
             yield batch.slice(start, end - start)
             start = end
 
