@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton_dedup, bfd_packing, knn_quality, language_id, lpf_dedup, lsh_forest, lsm_dedup, norm_topk, pareto_mix
+from . import automaton_dedup, bfd_packing, context_mixing, knn_quality, language_id, lpf_dedup, lsh_forest, lsm_dedup, norm_topk, pareto_mix
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_norm_bucket_topk": norm_topk.op5_query,
         "op6_best_fit_packing": bfd_packing.op6_query,
         "op7_lpf_byte_dedup": lpf_dedup.op7_query,
+        "op8_context_mixing": context_mixing.op8_query,
         "op9_automaton_word_dedup": automaton_dedup.op9_query,
         "op10_lsh_forest_join": lsh_forest.op10_query,
     }
