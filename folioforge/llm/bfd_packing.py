@@ -9,7 +9,7 @@ the data. Every piece then finds its place from its rank among the pieces of its
 is a per-task count plus the counts of the tasks before; no group is collected.
 
 A word's ids do not depend on its neighbours, since the tokenizer drops white space: each
-task tokenises each distinct word once and gathers the ids of whole texts from that.
+task tokenises each distinct piece of a word once and gathers the ids of whole texts from that.
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed each; a null
 doc_id stays null; an empty table gives no rows.
@@ -17,6 +17,7 @@ doc_id stays null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,65 +28,139 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .texthash import Words, chunks, text_buffer
+from .texthash import Words, chunks, lower_ascii, span_hash, text_buffer
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct words whose ids a task holds at most before it starts anew.
-CACHE_WORDS = 1_000_000
+#: Distinct pieces whose ids a task holds at most before it starts anew.
+CACHE_PIECES = 600_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long"
 
 
+#: Byte classes of the fast path: separators, letters, digits, other ASCII, and bytes that need the whole tokenizer.
+_SPACE, _LETTER, _DIGIT, _OTHER, _SLOW = range(5)
+_KIND = np.full(256, _SLOW, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _SPACE
+_KIND[[0x27, 0x3C]] = _SLOW  # an apostrophe may start a contraction, "<" a special token
+
+
+def _kinds(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte and the bytes in lower case; letters of the Latin-1 supplement take two bytes."""
+    kind, low = _KIND[buffer], lower_ascii(buffer)
+    lead = np.flatnonzero(buffer == 0xC3)
+    after = buffer[lead + 1]  # a valid text never ends on a lead byte
+    sign = (after == 0x97) | (after == 0xB7)
+    letter, capital = lead[~sign] + 1, lead[(after <= 0x9E) & ~sign] + 1
+    kind[letter] = kind[letter - 1] = _LETTER
+    low[capital] += 0x20
+    return kind, low
+
+
 class WordTokens:
-    """Token ids of texts from the ids of their distinct words."""
+    """Token ids of texts from the ids of their distinct pieces.
 
-    def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+    The tokenizer drops white space and cuts words into runs of letters, single digits and runs of
+    other signs. Words of plain ASCII and Latin-1 letters are cut and lower-cased here, and only the
+    merges of each distinct piece are left to the tokenizer's model; any other word goes through the
+    whole tokenizer.
+    """
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+    def __init__(self, tokenizer_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(tokenizer_file)
+        self.plain = Tokenizer(self.whole.model)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+        size = self.whole.get_vocab_size()
+        self.closes = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            ids, n = found.ids, len(self.place)
-            if n == len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[n], self.size[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[key] = n
+        self.key = np.zeros(0, np.uint64)
+        self.start = self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _cut(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, end and hash of all pieces, whether each is plain, and the bytes in lower case."""
+        words = Words(buffer, offsets, hashes=False)
+        kind, low = _kinds(buffer)
+        depth = np.zeros(len(buffer) + 1, np.int64)
+        np.cumsum(kind == _SLOW, out=depth[1:])
+        plain = depth[words.end] == depth[words.start]
+        at = kind[1:] != kind[:-1]
+        at |= kind[1:] == _DIGIT
+        begins = np.zeros(len(buffer), bool)
+        begins[1:] = at & (kind[1:] != _SPACE)
+        for a, b in zip(words.start[~plain].tolist(), words.end[~plain].tolist(), strict=True):
+            begins[a:b] = False
+            low[a:b] = buffer[a:b]
+        begins[words.start] = True
+        start = np.flatnonzero(begins)
+        home = np.searchsorted(words.start, start, side="right") - 1
+        end = np.minimum(np.append(start[1:], len(buffer)), words.end[home])
+        ok = plain[home]
+        return start, end, span_hash(low, start, end) ^ ok.astype(np.uint64), ok, low
+
+    def _learn(self, low: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> None:
+        raw = low.tobytes()
+        new_ids, new_size, new_key = [], [], []
+        rows = np.flatnonzero(plain)
+        if len(rows):
+            size = end[rows] - start[rows]
+            step = np.repeat(np.cumsum(size) - size, size)
+            within = np.arange(int(size.sum())) - step
+            joined = np.full(int(size.sum()) + len(rows), 0x20, np.uint8)
+            place = np.repeat(np.cumsum(size + 1) - (size + 1), size) + within
+            joined[place] = low[np.repeat(start[rows], size) + within]
+            ids = np.array(self.plain.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.closes[ids])
+            new_ids.append(ids)
+            new_size.append(np.diff(np.concatenate([[-1], last])))
+            new_key.append(key[rows])
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            texts = [raw[a:b].decode() for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+            found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            new_ids += found
+            new_size.append(np.array([len(x) for x in found], np.int64))
+            new_key.append(key[rest])
+        size = np.concatenate(new_size)
+        first = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *new_ids])
+        keys = np.concatenate([self.key, *new_key])
+        order = np.argsort(keys, kind="stable")
+        self.key, self.start, self.size = keys[order], np.concatenate([self.start, first])[order], np.concatenate([self.size, size])[order]
 
     def encode(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END_ID, and their offsets."""
-        words = Words(buffer, offsets)
-        key, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.place) > CACHE_WORDS:
+        if not len(buffer):
+            return np.full(len(offsets) - 1, END_ID, np.uint32), np.arange(len(offsets))
+        start, end, hashed, plain, low = self._cut(buffer, offsets)
+        key, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        if len(self.key) > CACHE_PIECES:
             self._reset()
-        keys, place = key.tolist(), self.place
-        fresh = [i for i, k in enumerate(keys) if k not in place]
-        if fresh:
-            raw = buffer.tobytes()
-            at = first[fresh]
-            spans = zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)
-            self._learn([keys[i] for i in fresh], [raw[a:b].decode() for a, b in spans])
-        where = np.fromiter((place[k] for k in keys), np.int64, len(keys))
-        start, size = self.start[where][inverse], self.size[where][inverse]
+        at = np.searchsorted(self.key, key)
+        known = at < len(self.key)
+        known[known] = self.key[at[known]] == key[known]
+        if not known.all():
+            fresh = first[~known]
+            self._learn(low, key[~known], start[fresh], end[fresh], plain[fresh])
+        where = np.searchsorted(self.key, key)[inverse]
+        from_, size = self.start[where], self.size[where]
         ends = np.concatenate([[0], np.cumsum(size)])
-        per_doc = ends[words.first[1:]] - ends[words.first[:-1]] + 1
+        of_doc = np.searchsorted(start, offsets)
+        per_doc = ends[of_doc[1:]] - ends[of_doc[:-1]] + 1
         bounds = np.concatenate([[0], np.cumsum(per_doc)])
         out = np.full(bounds[-1], END_ID, np.uint32)
         body = np.ones(bounds[-1], bool)
         body[bounds[1:] - 1] = False
-        out[body] = self.ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        out[body] = self.ids[np.repeat(from_ - ends[:-1], size) + np.arange(ends[-1])]
         return out, bounds
 
 
