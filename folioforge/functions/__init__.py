@@ -1 +1 @@
-"""functions of folioforge."""
+"""Column functions."""

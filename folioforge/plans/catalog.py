@@ -1,11 +1,489 @@
-"""The reference operators' queries over the driver tables, and their SQL."""
+"""The reference operators' queries over the driver tables, and their SQL.
+
+The tables hold no images, so each operator runs on an analogue: documents are works, conversations
+are folders of turns, embeddings give page hashes (the sign of each component), parts give names,
+line items give episode numbers. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import signatures as S
+from ..functions import text as X
+from ..operators import actions, classify, exact, index, near, runs
+from ..operators.components import connected_components
+from ..sources import tree
+
+#: Thresholds of the embedding queries: the sign hashes of the tables lie about 32 bits apart.
+EMBEDDING_THRESHOLD, EMBEDDING_GOOD, EMBEDDING_RATIO = 23.0, 22, 0.75
+CREATOR_THRESHOLD, CREATOR_GOOD = 34, 33
+PAGES_IN_WORK = 8
+CHUNK = 200
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- documents as works -------------------------------------------------------------------------
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("_"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", name.alias("name"), F.sha2(F.col("text"), 256).alias("digest"), F.col("n_chars").cast("long").alias("n_chars"), F.octet_length("text").cast("long").alias("bytes"), "lang", "source")
+
+
+def exact_groups(spark, sf_dir):
+    found = exact.exact_groups(_documents(spark, sf_dir), "digest", "doc_id")
+    return found.select("digest", "n", F.col("first").alias("first_id"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+def _keepers(spark, sf_dir):
+    return exact.exact_keeper(_documents(spark, sf_dir), "digest", F.col("name"), F.col("name"))
+
+
+def exact_keeper(spark, sf_dir):
+    return _keepers(spark, sf_dir).select("digest", "doc_id", "n", "is_keeper")
+
+
+def exact_survivors(spark, sf_dir):
+    gone = _keepers(spark, sf_dir).where(~F.col("is_keeper"))
+    return exact.survivors(_documents(spark, sf_dir), gone, "doc_id").select("doc_id", "digest")
+
+
+_DOCS = """d AS (SELECT doc_id, coalesce(source, 'none') || '_' || CAST(doc_id AS VARCHAR) AS name, sha256(text) AS digest,
+  CAST(n_chars AS BIGINT) AS n_chars, CAST(strlen(text) AS BIGINT) AS bytes, lang, source, text FROM documents)"""
+# A derived name has no noise words, no dots and only letters, digits and underscores: the shortest, then the first.
+_KEEP = f"""WITH {_DOCS},
+g AS (SELECT *, count(*) OVER (PARTITION BY digest) AS n,
+  row_number() OVER (PARTITION BY digest ORDER BY length(name), lower(name)) = 1 AS is_keeper FROM d WHERE digest IS NOT NULL)"""
+
+
+def size_format(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return docs.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")).select("source", "bytes", X.format_size(F.col("bytes")).alias("total"), X.format_size(F.col("largest")).alias("most"), X.format_size(-F.col("largest")).alias("freed"))
+
+
+def _format_sql(x: str) -> str:
+    return f"""CASE WHEN abs({x}) < 1024 THEN CAST({x} AS VARCHAR) || ' B'
+  WHEN abs({x}) < 1048576 THEN printf('%.2f KB', CAST({x} AS DOUBLE) / 1024)
+  WHEN abs({x}) < 1073741824 THEN printf('%.2f MB', CAST({x} AS DOUBLE) / 1048576)
+  ELSE printf('%.2f GB', CAST({x} AS DOUBLE) / 1073741824) END"""
+
+
+def page_budget(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    budget = X.page_budget(F.col("bytes"), cap_mb=0.004)
+    return docs.select("doc_id", budget.alias("budget"), F.round(X.scale_for_budget(F.col("bytes") * 3, budget), 9).alias("scale"))
+
+
+# --- conversations as folders of pages ----------------------------------------------------------
+
+
+def work_digest(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").withColumn("page", F.concat(F.col("turn").cast("string"), F.lit("_"), F.col("role"), F.lit(".TXT")))
+    found = exact.folder_digest(turns, "conv_id", "page", "text")
+    prints = exact.content_fingerprint(turns.withColumn("size", F.octet_length("text")), "conv_id", "page", "size", "turn")
+    return found.join(prints, "conv_id").select("conv_id", "n_pages", "digest", "fingerprint")
+
+
+def page_sample(spark, sf_dir):
+    """Sampled chunks of documents (a page is 200 characters), for 12 and for 3 pages."""
+    pages = _documents(spark, sf_dir).withColumn("pages", F.ceil(F.col("n_chars") / CHUNK).cast("long"))
+    text = lambda k: F.array_join(F.transform(S.page_indices(F.col("pages"), k), lambda x: x.cast("string")), ",")
+    return pages.select("doc_id", "pages", text(12).alias("twelve"), text(3).alias("three"), text(1).alias("one"))
+
+
+def _sample_sql(k: int) -> str:
+    every = "list_transform(range(pages), lambda i: CAST(i AS BIGINT))"
+    if k == 1:
+        return f"CASE WHEN pages <= 1 THEN array_to_string({every}, ',') ELSE CAST(pages // 2 AS VARCHAR) END"
+    s, e = "CAST(trunc(pages * CAST(0.1 AS DOUBLE)) AS BIGINT)", "CAST(trunc(pages * CAST(0.9 AS DOUBLE)) AS BIGINT) - 1"
+    start, end = f"(CASE WHEN greatest({s}, {e}) <= {s} THEN 0 ELSE {s} END)", f"(CASE WHEN greatest({s}, {e}) <= {s} THEN pages - 1 ELSE {e} END)"
+    at = f"least(pages - 1, CAST(trunc(CAST({start} AS DOUBLE) + (CAST({end} - {start} AS DOUBLE) / {k - 1}) * i) AS BIGINT))"
+    return f"CASE WHEN pages <= {k} THEN array_to_string({every}, ',') ELSE array_to_string(list_sort(list_distinct(list_transform(range({k}), lambda i: {at}))), ',') END"
+
+
+# --- embeddings as page hashes ------------------------------------------------------------------
+
+
+def _hashes(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", S.sign_hash(F.col("embedding")).alias("hash"))
+
+
+def page_hash(spark, sf_dir):
+    hashed = _hashes(spark, sf_dir).select("vec_id", S.hash_to_hex(F.col("hash")).alias("hex"), F.bit_count("hash").alias("ones"))
+    return hashed.withColumn("back", S.hash_to_hex(S.hex_to_hash(F.col("hex"))))
+
+
+def _signatures(spark, sf_dir) -> DataFrame:
+    page = F.array_sort(F.collect_list(F.struct("vec_id", "hash")))
+    grouped = _hashes(spark, sf_dir).groupBy(F.expr(f"vec_id div {PAGES_IN_WORK}").alias("ord")).agg(page.alias("p"), F.max("label").alias("top"))
+    # Works whose first page has label 0 have an unknown page count.
+    return grouped.select("ord", F.transform("p", lambda x: x["hash"]).alias("signature"), F.when(F.col("top") == 9, 0).otherwise(F.size("p") + F.col("top") * 3).cast("int").alias("pages"))
+
+
+def signature(spark, sf_dir):
+    return _signatures(spark, sf_dir).select("ord", "pages", F.array_join(F.transform("signature", S.hash_to_hex), ",").alias("signature"))
+
+
+def pair_distance(spark, sf_dir):
+    works = _signatures(spark, sf_dir).withColumn("pages", F.lit(1))
+    return _rounded(near.pair_distances(near.candidate_pairs(works, 5), EMBEDDING_GOOD))
+
+
+def pair_distance_gated(spark, sf_dir):
+    return _rounded(near.pair_distances(near.candidate_pairs(_signatures(spark, sf_dir), 5), EMBEDDING_GOOD))
+
+
+def _rounded(pairs: DataFrame) -> DataFrame:
+    return pairs.select("ord_a", "ord_b", F.round("distance", 9).alias("distance"), F.round("good_ratio", 9).alias("good_ratio"))
+
+
+def near_works(spark, sf_dir):
+    found = near.near_groups(_signatures(spark, sf_dir), threshold=EMBEDDING_THRESHOLD, tolerance=5, good=EMBEDDING_GOOD, good_ratio=EMBEDDING_RATIO)
+    return found.select("ord", "group_id")
+
+
+_HASH = f"""h AS (SELECT vec_id, label, list_reduce(list_transform(range(64), lambda i:
+  CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS UBIGINT) << CAST(i AS UBIGINT) ELSE CAST(0 AS UBIGINT) END), lambda a, b: a | b) AS hash
+  FROM embeddings WHERE embedding IS NOT NULL)"""
+_SIG = f"""{_HASH}, s AS (SELECT vec_id // {PAGES_IN_WORK} AS ord, list(hash ORDER BY vec_id) AS signature,
+  CAST(CASE WHEN max(label) = 9 THEN 0 ELSE count(*) + 3 * max(label) END AS INTEGER) AS pages FROM h GROUP BY 1)"""
+
+
+def _pairs_sql(gate: str, good: int = EMBEDDING_GOOD) -> str:
+    """Common table pair(ord_a, ord_b, distance, good_ratio); the query side is the shorter signature."""
+    return f"""{_SIG},
+p AS (SELECT a.ord AS ord_a, b.ord AS ord_b,
+  CASE WHEN len(b.signature) < len(a.signature) THEN b.signature ELSE a.signature END AS q,
+  CASE WHEN len(b.signature) < len(a.signature) THEN a.signature ELSE b.signature END AS t
+  FROM s a JOIN s b ON a.ord < b.ord AND {gate}),
+m AS (SELECT ord_a, ord_b, list_transform(q, lambda x: list_min(list_transform(t, lambda y: bit_count(xor(x, y))))) AS least FROM p),
+pair AS (SELECT ord_a, ord_b, CAST(list_sum(least) AS DOUBLE) / len(least) AS distance,
+  CAST(len(list_filter(least, lambda x: x <= {good})) AS DOUBLE) / len(least) AS good_ratio FROM m)"""
+
+
+_GATE = "(a.pages = 0 OR b.pages = 0 OR abs(a.pages - b.pages) <= 5)"
+
+
+def _closure_sql(pairs: str) -> str:
+    """Least member of each node's component over table e(a, b)."""
+    return f"""e AS (SELECT a, b FROM {pairs} UNION SELECT b, a FROM {pairs}),
+walk(node, seen) AS (SELECT a, a FROM e UNION SELECT walk.node, e.b FROM walk JOIN e ON e.a = walk.seen)"""
+
+
+def _creators(spark, sf_dir):
+    hashes = _hashes(spark, sf_dir).where("label is not null")
+    own = hashes.withColumn("signature", F.array("hash"))
+    tagged = own.where("label <> 0").withColumn("creator", F.concat(F.lit("artist"), F.col("label").cast("string")))
+    return own.where("label = 0"), classify.profiles(tagged, "creator", "signature", 3)
+
+
+def classify_scores(spark, sf_dir):
+    untagged, known = _creators(spark, sf_dir)
+    return classify.scores(untagged, "vec_id", "signature", known, CREATOR_GOOD)
+
+
+def classify_suggest(spark, sf_dir):
+    return classify.suggestions(classify_scores(spark, sf_dir), "vec_id", CREATOR_THRESHOLD)
+
+
+_SCORES = f"""{_HASH},
+m AS (SELECT u.vec_id, 'artist' || CAST(p.label AS VARCHAR) AS creator, CAST(bit_count(xor(u.hash, p.hash)) AS DOUBLE) AS d
+  FROM h u JOIN h p ON u.label = 0 AND p.label <> 0
+   AND p.label IN (SELECT label FROM h WHERE label IS NOT NULL GROUP BY label HAVING count(*) >= 3)),
+sc AS (SELECT vec_id, creator, median(d) AS avg_distance, median(CASE WHEN d <= {CREATOR_GOOD} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS good_ratio,
+  count(*) AS sample_count FROM m GROUP BY ALL)"""
+_SUGGEST = f"""WITH {_SCORES},
+o AS (SELECT *, row_number() OVER w AS r, lead(avg_distance) OVER w AS nxt FROM sc
+  WINDOW w AS (PARTITION BY vec_id ORDER BY avg_distance, good_ratio DESC, sample_count DESC, lower(creator), creator)),
+b AS (SELECT *, coalesce(nxt - avg_distance, CAST('infinity' AS DOUBLE)) AS margin FROM o WHERE r = 1),
+l AS (SELECT vec_id, creator, avg_distance, good_ratio, sample_count, margin,
+  CASE WHEN avg_distance <= {CREATOR_THRESHOLD - 4} AND good_ratio >= 0.6 AND sample_count >= 5 AND margin >= 2 THEN 'high'
+       WHEN avg_distance <= {CREATOR_THRESHOLD} AND good_ratio >= 0.45 AND margin >= 1.5 THEN 'medium'
+       WHEN avg_distance <= {CREATOR_THRESHOLD} AND good_ratio >= 0.35 THEN 'low' ELSE 'none' END AS confidence FROM b)
+SELECT * FROM l WHERE confidence <> 'none'"""
+
+
+# --- near duplicates of documents by SimHash ------------------------------------------------------
+
+SIMHASH_RADIUS = 3
+
+
+def _simhashes(spark, sf_dir) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    hashed = words.select("doc_id", F.conv(F.substring(F.md5("w"), 1, 16), 16, -10).cast("long").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1).alias(f"b{i}") for i in range(64)]
+    bits = hashed.groupBy("doc_id").agg(*sums)
+    value = F.lit(0).cast("long")
+    for i in range(64):
+        value = value.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return bits.select("doc_id", value.alias("hash"))
+
+
+def near_groups(spark, sf_dir):
+    pairs = near.banded_pairs(_simhashes(spark, sf_dir), "doc_id", "hash", SIMHASH_RADIUS)
+    return connected_components(pairs, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+
+
+def near_keeper(spark, sf_dir):
+    docs = _documents(spark, sf_dir).withColumn("pages", F.ceil(F.col("n_chars") / CHUNK).cast("long"))
+    members = docs.join(near_groups(spark, sf_dir), "doc_id")
+    ranked = exact.quality_rank(members, "group_id", "pages", "n_chars", "pages", "bytes", "name")
+    return ranked.select("doc_id", "group_id", F.col("rank").cast("int").alias("rank"), "is_keeper")
+
+
+_SIM = (
+    """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+x AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 16) AS UBIGINT) AS h FROM w),
+v AS (SELECT doc_id, """
+    + " | ".join(f"(CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN CAST(1 AS UBIGINT) << {i} ELSE CAST(0 AS UBIGINT) END)" for i in range(64))
+    + f""" AS hash FROM x GROUP BY doc_id),
+np AS (SELECT a.doc_id AS a, b.doc_id AS b FROM v a JOIN v b ON a.doc_id < b.doc_id AND bit_count(xor(a.hash, b.hash)) <= {SIMHASH_RADIUS}),
+{_closure_sql("np")},
+g AS (SELECT node AS doc_id, min(seen) AS group_id FROM walk GROUP BY node)"""
+)
+
+
+# --- names, episodes, runs ------------------------------------------------------------------------
+
+
+def _part_names(spark, sf_dir) -> DataFrame:
+    """Names with brackets, noise words, tags of many kinds and episode numbers, from the columns of part."""
+    parts = _read(spark, sf_dir, "part")
+    size, kind = F.col("p_size"), F.length("p_type") % 8
+    series = F.split("p_name", " ")[0]
+    tag = F.element_at(F.array(*map(F.lit, ["English Version", "digital", "CHINESE", "raw", "Complete ver.", "xx汉化", "Fan Club"])), (size % 7 + 1).cast("int"))
+    mark = F.element_at(F.array(*map(F.lit, ["_EP_", "_Chapter_", " ", "-", "#", "_vol_", "第", "_episode_"])), (kind + 1).cast("int"))
+    end = F.when(kind == 6, "話").otherwise("")
+    noise = F.when(size % 5 == 0, " Copy (2)").when(size % 5 == 1, "  duplicate  ").otherwise("")
+    return parts.select(
+        "p_partkey", "p_brand", F.col("p_size").cast("long").alias("p_size"),
+        F.concat(F.lit("【"), F.col("p_brand"), F.lit("】"), F.upper("p_name"), F.lit("("), tag, F.lit(")"), F.initcap("p_type"), noise).alias("name"),
+        F.concat(series, mark, size.cast("string"), end).alias("episode_name"),
+        F.concat(F.element_at(F.array(*map(F.lit, ["[", "(", "（", "【"])), (size % 4 + 1).cast("int")), tag, F.element_at(F.array(*map(F.lit, ["]", ")", "）", "】"])), (size % 4 + 1).cast("int")),
+                 F.lit(" ["), F.col("p_brand"), F.lit("]"), F.col("p_name")).alias("tagged"),
+    )
+
+
+_TAG_SQL = "['English Version', 'digital', 'CHINESE', 'raw', 'Complete ver.', 'xx汉化', 'Fan Club'][1 + p_size % 7]"
+_NAMES = f"""n AS (SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size, p_name, p_type, {_TAG_SQL} AS tag,
+  split_part(p_name, ' ', 1) || ['_EP_', '_Chapter_', ' ', '-', '#', '_vol_', '第', '_episode_'][1 + length(p_type) % 8] || CAST(p_size AS VARCHAR) || CASE WHEN length(p_type) % 8 = 6 THEN '話' ELSE '' END AS episode_name,
+  ['[', '(', '（', '【'][1 + p_size % 4] || {_TAG_SQL} || [']', ')', '）', '】'][1 + p_size % 4] || ' [' || p_brand || ']' || p_name AS tagged
+  FROM part)"""
+
+
+def std_name(spark, sf_dir):
+    return _part_names(spark, sf_dir).select("p_partkey", X.standard_name(F.col("name")).alias("standard"))
+
+
+def _cased_sql(x: str) -> str:
+    """Title case of words that start with a letter, joined by single spaces."""
+    return f"list_aggregate(list_transform(string_split(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', ' ')"
+
+
+# The chain's outcome for these names, step by step: folded brackets, the tag's normal form or nothing,
+# title case outside the tags, "copy" and "duplicate" gone with their white space.
+_STD_SQL = f"""WITH {_NAMES},
+t AS (SELECT *, CASE WHEN p_size % 7 = 0 THEN '(eng)' WHEN p_size % 7 = 2 THEN '(chn)' WHEN p_size % 7 = 6 THEN '(fan club)' ELSE '' END AS shown FROM n)
+SELECT p_partkey, trim(regexp_replace('[' || lower(p_brand) || '] ' || {_cased_sql("p_name")} || ' ' || shown || ' ' || {_cased_sql("p_type")}, ' +', ' ', 'g')) AS standard FROM t"""
+
+
+def episode_parse(spark, sf_dir):
+    parsed = _part_names(spark, sf_dir).withColumn("e", X.parse_episode(F.col("episode_name")))
+    return parsed.select("p_partkey", "episode_name", F.col("e.prefix").alias("prefix"), F.col("e.suffix").alias("suffix"), F.col("e.episode").alias("episode"), X.prefixed_page(F.col("p_size"), F.lit("001.jpg")).alias("page"))
+
+
+_PARSED = f"""{_NAMES},
+e AS (SELECT *, regexp_extract(episode_name, '^(.*?)([0-9]+)(話?)$', 1) AS prefix,
+  CASE WHEN length(p_type) % 8 = 6 THEN '話' ELSE '' END AS suffix, p_size AS episode FROM n)"""
+
+
+def merge_names(spark, sf_dir):
+    groups = runs.merge_groups(_part_names(spark, sf_dir), "p_brand", "episode_name", "p_partkey")
+    return groups.select("p_brand", "prefix", "suffix", "start", "end", "n", "merged_name")
+
+
+_RUNS = """r AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY {number}, {order} ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, CASE WHEN {number} = 1 + lag({number}) OVER (PARTITION BY {keys} ORDER BY {number}, {order}) THEN 0 ELSE 1 END AS fresh FROM {table})),
+k AS (SELECT {keys}, run, min({number}) AS start, max({number}) AS "end", count(*) AS n FROM r GROUP BY {keys}, run HAVING count(*) >= 2)"""
+
+
+def episode_runs(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("number"), "l_partkey", "l_suppkey")
+    found = runs.contiguous_runs(lines, ["l_orderkey"], "number", F.struct("l_partkey", "l_suppkey"))
+    return found.select("l_orderkey", "start", "end", "n")
+
+
+def creator_tags(spark, sf_dir):
+    names = _part_names(spark, sf_dir)
+    creator = X.creator_tag(F.col("tagged"))
+    return names.select("p_partkey", creator.alias("creator"), X.title_without_tags(F.col("tagged")).alias("title"), X.tagged_name(F.col("tagged"), F.lit("New")).alias("proposed"))
+
+
+# --- pages as a directory tree ------------------------------------------------------------------
+
+
+def archive_inventory(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    named = pages.select("page_id", path.alias("path")).withColumn("name", F.regexp_extract("path", "[^/]*$", 0)).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    return named.select(
+        "page_id", "folder", "name", X.suffix(F.col("name")).alias("suffix"),
+        X.suffix(F.col("name")).isin(tree.ARCHIVE_SUFFIXES).alias("is_archive"), tree.is_page(F.col("path"), F.col("name")).alias("is_page"), tree.is_junk(F.col("path"), F.col("name")).alias("is_junk"),
+    )
+
+
+def natural_order(spark, sf_dir):
+    names = _documents(spark, sf_dir)
+    order = Window.partitionBy("lang").orderBy(X.natural_key(F.col("name")))
+    return names.select("doc_id", "lang", F.row_number().over(order).cast("int").alias("place"))
+
+
+def unique_names(spark, sf_dir):
+    wanted = _part_names(spark, sf_dir).select("p_partkey", F.col("p_brand").alias("parent"), F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("name"))
+    taken = wanted.select("parent", F.lit("size7").alias("name")).distinct()
+    return exact.unique_names(wanted, taken, "parent", "name", "p_partkey").select("p_partkey", "free_name")
+
+
+# --- index ----------------------------------------------------------------------------------------
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Works (all documents) and an index of the labelled ones; low-quality labels are stale."""
+    works = _documents(spark, sf_dir).select("doc_id", F.sha2(F.concat_ws(":", F.lit("file"), "doc_id", "n_chars"), 256).alias("fingerprint"), "digest", F.col("n_chars").alias("page_count"))
+    labels = _read(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    old = labels.join(works, "doc_id", "left")
+    fp = F.when(F.col("quality") == 1, F.col("fingerprint")).otherwise("stale")
+    return works, old.select("doc_id", fp.alias("quick_fingerprint"), F.col("digest").alias("exact_hash"), fp.alias("exact_fp"), F.when(F.col("quality") == 1, F.col("page_count")).otherwise(0).alias("page_count"))
+
+
+def index_hits(spark, sf_dir):
+    works, known = _snapshots(spark, sf_dir)
+    found = index.lookup(works, known, "doc_id", "fingerprint", "exact_hash", "exact_fp")
+    found = found.join(index.metadata_hit(works, known, "doc_id", "fingerprint").select("doc_id", F.col("is_hit").alias("scan_hit")), "doc_id")
+    return found.select("doc_id", F.coalesce("is_hit", F.lit(False)).alias("is_hit"), "cached", "scan_hit")
+
+
+def index_upsert(spark, sf_dir):
+    works, known = _snapshots(spark, sf_dir)
+    changes = works.select("doc_id", F.col("fingerprint").alias("quick_fingerprint"), F.lit(None).cast("string").alias("exact_hash"), F.when(F.col("page_count") > 1000, F.col("page_count")).alias("page_count"))
+    return index.upsert(known, changes, "doc_id").select("doc_id", "quick_fingerprint", "exact_hash", "exact_fp", F.coalesce("page_count", F.lit(0)).alias("page_count"))
+
+
+def index_prune(spark, sf_dir):
+    works, known = _snapshots(spark, sf_dir)
+    long = works.where("page_count > 1000")
+    kept, removed = index.prune(known, long, "doc_id")
+    return removed.join(kept.agg(F.count(F.lit(1)).alias("kept"), F.min("doc_id").alias("first")), F.lit(True))
+
+
+_INDEX = f"""{_DOCS}, wk AS (SELECT doc_id, sha256('file:' || CAST(doc_id AS VARCHAR) || ':' || CAST(n_chars AS VARCHAR)) AS fingerprint, digest, n_chars AS page_count FROM d),
+ix AS (SELECT l.doc_id, CASE WHEN quality = 1 THEN fingerprint ELSE 'stale' END AS fp, digest AS exact_hash,
+  CASE WHEN quality = 1 THEN page_count ELSE 0 END AS page_count
+  FROM (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) l LEFT JOIN wk USING (doc_id))"""
+
+
+# --- actions ----------------------------------------------------------------------------------------
+
+
+def _actions(spark, sf_dir) -> DataFrame:
+    exact_rows = actions.duplicate_actions(_keepers(spark, sf_dir), "exact", "digest", "doc_id", "bytes")
+    gone = _keepers(spark, sf_dir).where(~F.col("is_keeper"))
+    left = exact.survivors(_documents(spark, sf_dir), gone, "doc_id")
+    groups = near_groups(spark, sf_dir)
+    several = groups.join(left, "doc_id").withColumn("pages", F.ceil(F.col("n_chars") / CHUNK).cast("long"))
+    near_rows = actions.duplicate_actions(exact.quality_rank(several, "group_id", "pages", "n_chars", "pages", "bytes", "name"), "near", "group_id", "doc_id", "bytes")
+    return exact_rows.unionByName(near_rows)
+
+
+def plan_actions(spark, sf_dir):
+    return _actions(spark, sf_dir).select("phase", "group_id", "kind", "src", "bytes")
+
+
+def run_report(spark, sf_dir):
+    return actions.report(_actions(spark, sf_dir)).select("exact_removed", "near_removed", "bytes_reclaimed", (F.col("exact_removed") + F.col("near_removed")).alias("total"), X.format_size(F.col("bytes_reclaimed")).alias("reclaimed"))
+
+
+_PLAN = f"""WITH RECURSIVE {_SIM}, {_DOCS},
+k AS (SELECT *, count(*) OVER (PARTITION BY digest) AS n, row_number() OVER (PARTITION BY digest ORDER BY length(name), lower(name)) AS r FROM d WHERE digest IS NOT NULL),
+left_over AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE r > 1)),
+q AS (SELECT l.*, group_id, row_number() OVER (PARTITION BY group_id ORDER BY ceil(n_chars / {CHUNK}) DESC, n_chars * ceil(n_chars / {CHUNK}) DESC, bytes DESC, lower(name), name) AS r
+  FROM left_over l JOIN g USING (doc_id)),
+acts AS (SELECT 'exact' AS phase, digest AS group_id, CASE WHEN r = 1 THEN 'keep' ELSE 'trash' END AS kind, CAST(doc_id AS VARCHAR) AS src, bytes FROM k WHERE n > 1
+  UNION ALL SELECT 'near', CAST(group_id AS VARCHAR), CASE WHEN r = 1 THEN 'keep' ELSE 'trash' END, CAST(doc_id AS VARCHAR), bytes FROM q)"""
+
 
 def queries() -> dict:
-    return {}
+    names = [
+        exact_groups, exact_keeper, exact_survivors, work_digest, page_sample, page_hash, signature, pair_distance, pair_distance_gated,
+        near_works, near_groups, near_keeper, std_name, episode_parse, episode_runs, merge_names, creator_tags, classify_scores, classify_suggest,
+        index_hits, index_upsert, index_prune, archive_inventory, natural_order, unique_names, size_format, page_budget, plan_actions, run_report,
+    ]
+    return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    number = "number"
+    return {
+        "exact_groups": f"WITH {_DOCS} SELECT digest, count(*) AS n, min(doc_id) AS first_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM d WHERE digest IS NOT NULL GROUP BY digest HAVING count(*) > 1",
+        "exact_keeper": f"{_KEEP} SELECT digest, doc_id, n, is_keeper FROM g WHERE n > 1",
+        "exact_survivors": f"{_KEEP} SELECT doc_id, digest FROM d WHERE doc_id NOT IN (SELECT doc_id FROM g WHERE NOT is_keeper)",
+        "work_digest": """WITH p AS (SELECT conv_id, turn, lower(CAST(turn AS VARCHAR) || '_' || role || '.TXT') AS name, text FROM conversations)
+SELECT conv_id, count(*) AS n_pages, CASE WHEN count(text) = count(*) THEN sha256(string_agg(name || sha256(text), '' ORDER BY turn, name)) END AS digest,
+  sha256(string_agg(name || ':' || CAST(strlen(text) AS VARCHAR) || ':' || CAST(turn AS VARCHAR), chr(10) ORDER BY turn, name)) AS fingerprint FROM p GROUP BY conv_id""",
+        "page_sample": f"WITH p AS (SELECT doc_id, CAST(ceil(n_chars / {CHUNK}) AS BIGINT) AS pages FROM documents) SELECT doc_id, pages, {_sample_sql(12)} AS twelve, {_sample_sql(3)} AS three, {_sample_sql(1)} AS one FROM p",
+        "page_hash": f"WITH {_HASH} SELECT vec_id, printf('%016x', hash) AS hex, CAST(bit_count(hash) AS INTEGER) AS ones, printf('%016x', hash) AS back FROM h",
+        "signature": f"WITH {_SIG} SELECT ord, pages, array_to_string(list_transform(signature, lambda x: printf('%016x', x)), ',') AS signature FROM s",
+        "pair_distance": f"WITH {_pairs_sql('TRUE')} SELECT ord_a, ord_b, round(distance, 9) AS distance, round(good_ratio, 9) AS good_ratio FROM pair",
+        "pair_distance_gated": f"WITH {_pairs_sql(_GATE)} SELECT ord_a, ord_b, round(distance, 9) AS distance, round(good_ratio, 9) AS good_ratio FROM pair",
+        "near_works": f"""WITH RECURSIVE {_pairs_sql(_GATE)},
+np AS (SELECT ord_a AS a, ord_b AS b FROM pair WHERE distance <= {EMBEDDING_THRESHOLD} OR good_ratio >= {EMBEDDING_RATIO}),
+{_closure_sql("np")} SELECT node AS ord, min(seen) AS group_id FROM walk GROUP BY node""",
+        "near_groups": f"WITH RECURSIVE {_SIM} SELECT doc_id, group_id FROM g",
+        "near_keeper": f"""WITH RECURSIVE {_SIM}, {_DOCS},
+q AS (SELECT doc_id, group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY ceil(n_chars / {CHUNK}) DESC, n_chars * ceil(n_chars / {CHUNK}) DESC, bytes DESC, lower(name), name) AS INTEGER) AS rank
+  FROM d JOIN g USING (doc_id)) SELECT *, rank = 1 AS is_keeper FROM q""",
+        "std_name": _STD_SQL,
+        "episode_parse": f"WITH {_PARSED} SELECT p_partkey, episode_name, prefix, suffix, episode, printf('e%02d_%s', p_size, '001.jpg') AS page FROM e",
+        "episode_runs": f"""WITH l AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS number, l_partkey, l_suppkey FROM lineitem),
+{_RUNS.format(keys="l_orderkey", number=number, order="l_partkey, l_suppkey", table="l")} SELECT l_orderkey, start, "end", n FROM k""",
+        "creator_tags": f"""WITH {_NAMES}, c AS (SELECT *, CASE WHEN p_size % 7 = 3 THEN 'raw' WHEN p_size % 7 = 6 THEN 'Fan Club' ELSE p_brand END AS creator FROM n)
+SELECT p_partkey, creator, p_name AS title, '[New] ' || p_name AS proposed FROM c""",
+        "classify_scores": f"WITH {_SCORES} SELECT * FROM sc",
+        "classify_suggest": _SUGGEST,
+        "index_hits": f"""WITH {_INDEX} SELECT wk.doc_id, coalesce(ix.fp = wk.fingerprint AND ix.exact_hash IS NOT NULL, false) AS is_hit,
+  CASE WHEN ix.fp = wk.fingerprint THEN ix.exact_hash END AS cached, coalesce(ix.fp = wk.fingerprint AND ix.page_count > 0, false) AS scan_hit FROM wk LEFT JOIN ix USING (doc_id)""",
+        "index_upsert": f"""WITH {_INDEX} SELECT doc_id, coalesce(wk.fingerprint, ix.fp) AS quick_fingerprint, ix.exact_hash, ix.fp AS exact_fp,
+  coalesce(CASE WHEN wk.page_count > 1000 THEN wk.page_count END, ix.page_count, 0) AS page_count FROM ix FULL JOIN wk USING (doc_id)""",
+        "index_prune": f"""WITH {_INDEX}, kp AS (SELECT * FROM ix WHERE doc_id IN (SELECT doc_id FROM wk WHERE page_count > 1000))
+SELECT (SELECT count(*) FROM ix) - (SELECT count(*) FROM kp) AS removed, (SELECT count(*) FROM kp) AS kept, (SELECT min(doc_id) FROM kp) AS first""",
+        "archive_inventory": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+n AS (SELECT page_id, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '[^/]*$') AS name, path FROM p),
+x AS (SELECT *, CASE WHEN regexp_matches(name, '^.+\.[^.]+$') THEN lower(regexp_extract(name, '\.[^.]+$')) ELSE '' END AS suffix,
+  name LIKE '.\_%' ESCAPE '\' OR lower(name) IN ('.ds_store', 'desktop.ini', 'thumbs.db', 'ehthumbs.db', 'ehthumbs_vista.db') OR contains(path, '/__MACOSX/') OR starts_with(path, '__MACOSX/') AS is_junk FROM n)
+SELECT page_id, folder, name, suffix, suffix IN ('.cbz', '.cbr', '.zip', '.pdf', '.epub') AS is_archive,
+  suffix IN ('.jpg', '.jpeg', '.png', '.webp', '.gif', '.bmp', '.tif', '.tiff') AND NOT is_junk AS is_page, is_junk FROM x""",
+        "natural_order": f"""WITH {_DOCS} SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY regexp_extract(name, '^[^0-9]*'),
+  CAST(regexp_extract(name, '[0-9]+') AS BIGINT), doc_id) AS INTEGER) AS place FROM d""",
+        "unique_names": """WITH w AS (SELECT p_partkey, p_brand, 'size' || CAST(p_size AS VARCHAR) AS name, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) + CASE WHEN p_size = 7 THEN 1 ELSE 0 END AS k FROM part)
+SELECT p_partkey, CASE WHEN k = 1 THEN name ELSE name || '__' || CAST(k AS VARCHAR) END AS free_name FROM w""",
+        "size_format": f"WITH {_DOCS}, s AS (SELECT source, CAST(sum(bytes) AS BIGINT) AS bytes, max(bytes) AS largest FROM d GROUP BY source) SELECT source, bytes, {_format_sql('bytes')} AS total, {_format_sql('largest')} AS most, {_format_sql('(-largest)')} AS freed FROM s",
+        "page_budget": f"""WITH {_DOCS}, b AS (SELECT doc_id, bytes, CASE WHEN bytes > 0 THEN least(greatest(2 * bytes, 1024), 4194) ELSE 4194 END AS budget FROM d)
+SELECT doc_id, CAST(budget AS BIGINT) AS budget, round(CASE WHEN bytes <= 0 THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0.05 AS DOUBLE), least(CAST(1 AS DOUBLE), sqrt(CAST(budget AS DOUBLE) / (bytes * 3)) * CAST(0.95 AS DOUBLE))) END, 9) AS scale FROM b""",
+        "merge_names": f"""WITH {_PARSED}, {_RUNS.format(keys="p_brand, prefix, suffix", number="episode", order="p_partkey", table="e")},
+m AS (SELECT *, regexp_extract(prefix, '^(.*?)(_EP_|_Chapter_|_vol_|_episode_|[ #第-])$', 1) AS title, regexp_extract(prefix, '(_EP_|_Chapter_|_vol_|_episode_|[ #第-])$') AS mark FROM k)
+SELECT p_brand, prefix, suffix, start, "end", n,
+  list_aggregate(list_transform(string_split(title, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', ' ')
+  || CASE mark WHEN '_EP_' THEN '_Ep_' WHEN '_vol_' THEN '_Vol_' WHEN '_episode_' THEN '_Episode_' ELSE mark END
+  || CAST(start AS VARCHAR) || CASE WHEN mark IN ('-', '#', '第') THEN 'to' ELSE 'To' END || CAST("end" AS VARCHAR) || suffix AS merged_name FROM m""",
+        "plan_actions": f"{_PLAN} SELECT phase, group_id, kind, src, bytes FROM acts",
+        "run_report": f"""{_PLAN}, t AS (SELECT count(*) FILTER (kind = 'trash' AND phase = 'exact') AS exact_removed, count(*) FILTER (kind = 'trash' AND phase = 'near') AS near_removed,
+  CAST(coalesce(sum(bytes) FILTER (kind = 'trash'), 0) AS BIGINT) AS bytes_reclaimed FROM acts)
+SELECT *, exact_removed + near_removed AS total, {_format_sql('bytes_reclaimed')} AS reclaimed FROM t""",
+    }
