@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tree import JUNK_NAMES, PAGE_SUFFIXES
 
@@ -110,7 +111,7 @@ def archive_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_members, MEMBERS)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def phash(content: pd.Series) -> pd.Series:
     """Perceptual hash of an image file; null where it can't be decoded."""
     found = [None if c is None else decode_grey(bytes(c)) for c in content]
