@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy()
     rows = rows.withColumn("level", (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    # The first level that its own source does not cap; later ones are lower.
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     return rows.select("source", "source_size", F.least("limit", F.coalesce(level, F.col("ratio")) * F.col("weight")).alias("target"))
 
 
@@ -62,7 +63,8 @@ def pareto_mix(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, cap))
-    joined = rows.join(F.broadcast(targets), rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    targets = targets.withColumnRenamed("source", "_of")
+    joined = rows.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("certain", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("u", uniform(F.col("doc_id"), seed))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
@@ -75,7 +77,7 @@ def pareto_mix(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     rest = F.col("p") * F.col("source_size")
     edge = sums.where((F.col("before") < rest) & (F.col("before") + F.col("words") >= rest)).select(F.col("source").alias("edge_source"), F.col("bucket").alias("edge"), "before")
     edge = F.broadcast(edge)  # one row a source at most
-    marked = joined.join(edge, joined["source"].eqNullSafe(edge["edge_source"]), "left").drop("edge_source")
+    marked = joined.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
     own = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = marked.where((F.col("bucket") == F.col("edge")) & F.col("q").isNotNull()).withColumn("upto", F.col("before") + F.sum("size").over(own))
     # rest - (upto - size) is what is open before this row: nearer with it if it takes at most twice that.
@@ -96,8 +98,8 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The documents of the mix in their own columns: a document taken twice comes twice."""
     rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    picked = materialize(pareto_mix(rows).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")))
-    out = docs.join(picked, docs["doc_id"].eqNullSafe(picked["doc_id"])).drop(picked["doc_id"])
+    picked = materialize(pareto_mix(rows).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")))
+    out = docs.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
@@ -117,7 +119,7 @@ l AS (
   FROM r),
 t AS (
   SELECT source, source_size,
-         least(lim, coalesce(min(CASE WHEN level <= ratio THEN level END) OVER (), ratio) * weight) AS target
+         least(lim, coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), ratio) * weight) AS target
   FROM l),
 j AS (
   SELECT d.*, t.source_size, t.target,
