@@ -34,6 +34,7 @@ K = 25
 POWER = 8.0
 PRIOR_AT = 0.5
 REPEAT_WEIGHT = 4.0
+DIMS = (1 << BITS) + 3
 GRAMS = [("byte", 3), ("shape", 2), ("shape", 4)]
 
 
@@ -87,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbour
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
     got = rows.mapInArrow(_features, "doc_id long, quality int, x binary").toArrow()
     order = np.argsort(np.array(got.column("doc_id").to_pylist(), np.int64), kind="stable")
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(len(order), -1)[order].astype(np.float32)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, DIMS)[order].astype(np.float32)
     return NeighbourModel(x, np.array(got.column("quality").to_pylist(), np.int64)[order])
 
 

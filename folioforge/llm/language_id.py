@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, table
 from .features import hashed_counts, linear_svm, unit_rows
@@ -114,7 +115,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> HierarchicalModel:
     got = picked.mapInArrow(_features, "doc_id long, lang string, x binary").toArrow()
     lang = np.array(got.column("lang").to_pylist(), object)
     order = np.lexsort((np.array(got.column("doc_id").to_pylist()), lang))
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(len(lang), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, 1 << BITS).astype(np.float32)
     return HierarchicalModel(x[order], lang[order])
 
 
@@ -140,7 +141,7 @@ def _predict(model: HierarchicalModel):
 def predict(docs: DataFrame, model: HierarchicalModel) -> DataFrame:
     """Add _lang_pred and _lang_score to the rows' own columns (one of them is text)."""
     letter: Column = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    schema = docs.schema.add("_lang_pred", "string").add("_lang_score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
     return docs.withColumn("_letter", letter).mapInArrow(_predict(model), schema)
 
 
