@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .tree import JUNK_NAMES, PAGE_SUFFIXES
 
 MEMBERS = "work string, page_no int, page_name string, length long, width int, height int, sha256 string, phash long"
@@ -108,6 +109,7 @@ def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def archive_pages(files: DataFrame) -> DataFrame:
     """Pages of zip archives given as (path, content), in lexicographic order of the lower-cased name."""
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(_members, MEMBERS)
 
 

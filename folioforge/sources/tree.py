@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import suffix
+from ..shipping import ship
 
 SCHEMA = "path string, parent string, name string, is_dir boolean, length long, mtime_ns long"
 
@@ -74,6 +75,7 @@ class TreeSource(DataSource):
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """All visible entries under a folder; a missing root gives no rows."""
+    ship(spark)
     spark.dataSource.register(TreeSource)
     return spark.read.format("folio_tree").option("path", root).load()
 
