@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import fold, table
 from .features import hashed_counts, randomized_svd, unit_rows
 from .texthash import Words, chunks, text_buffer
@@ -80,6 +81,7 @@ class NeighbourModel:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NeighbourModel:
     """Fit on (doc_id, text) and (doc_id, quality)."""
+    ship(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     total = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 30)).cast("double") / float(1 << 30)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .common import fold, table
 from .features import hashed_counts, linear_svm, unit_rows
 from .texthash import chunks, text_buffer
@@ -104,6 +105,7 @@ class HierarchicalModel:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> HierarchicalModel:
     """Fit on rows of (doc_id, text, lang); null languages, texts and ids are left out."""
+    ship(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
     if not counts:

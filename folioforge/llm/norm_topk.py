@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import table
 
 BLOCK = 2048
@@ -131,7 +132,7 @@ def _search(ids: np.ndarray, vectors: np.ndarray, k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
     """The k candidates of highest score for each query row, ties to the smaller id."""
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     rows, asked = quantised(vectors, id_col, vec_col, scale), quantised(queries, id_col, vec_col, scale).distinct()
     blocks = max(1, math.ceil(asked.count() / block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
