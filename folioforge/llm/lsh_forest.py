@@ -290,3 +290,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS g
+  FROM d),
+x AS (SELECT doc_id, len(g) AS k, unnest(g) AS g FROM s),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.k) AS ka, any_value(b.k) AS kb
+  FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c WHERE 1000 * common >= 800 * (ka + kb - common)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+walk(node, seen) AS (SELECT a, a FROM e UNION SELECT walk.node, e.b FROM walk JOIN e ON e.a = walk.seen),
+k AS (SELECT node AS doc_id, min(seen) AS class_id, count(*) AS class_size FROM walk GROUP BY node),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_size, 1) AS class_size, coalesce(n_links, 0) AS n_links
+FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
