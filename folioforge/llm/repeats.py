@@ -8,7 +8,8 @@ byte or a word. The steps, none of which compares a document with the whole corp
    hash. A run of windows with one anchor is one row with the hash of the run's context (all units
    the run's windows cover): about 2 / (W - k + 2) rows a unit.
 2. Rows sorted by (anchor, context, document, place) are streamed in constant memory. A row whose
-   whole context came before is decided: its windows all repeat. An anchor with one context is
+   whole context came before is decided: its windows all repeat. A map task decides what repeats
+   within its batch, so a context of a third of all rows reaches its anchor once a batch. An anchor with one context is
    decided too: nothing repeats. What is left, one row for each distinct context, is open.
 3. The contexts of open rows are cut out of the texts and sent to their anchor's shard, where an
    exact engine (suffix order, or suffix automaton) finds the windows that start earlier.
@@ -35,6 +36,8 @@ from .texthash import _WORDS, Words, byte_values, chunks, mix64, signed, text_bu
 
 #: Open contexts of one anchor that one shard takes at most.
 HOT = 20_000
+#: Marks a place whose windows are known to repeat.
+DECIDED = np.int64(-(1 << 63))
 LAST = (1 << 63) - 1
 
 
@@ -97,11 +100,27 @@ def _anchors(spec: Spec):
             values, first = units(batch.column("text"), spec.unit)
             doc, at, more, anchor, context = anchor_runs(values, first, spec)
             d, h = (batch.column(c).to_numpy()[doc] for c in ("d", "h"))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(context)), pa.array(d), pa.array(pack(h, at, more))], names=["f", "c", "d", "at"])
+            f, c, place = signed(anchor), signed(context), pack(h, at, more)
+            order = np.lexsort((place, d, c, f))
+            f, c, d, place = f[order], c[order], d[order], place[order]
+            again = _came_before(f, c, d, place, spec.own)
+            # What this batch decides need not meet its anchor: it is dealt by its place instead.
+            f = np.where(again, signed(mix64((place ^ d).view(np.uint64))), f)
+            place = np.where(again, place | DECIDED, place)
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c), pa.array(d), pa.array(place)], names=["f", "c", "d", "at"])
 
     return run
 
 
+def _came_before(f: np.ndarray, c: np.ndarray, d: np.ndarray, at: np.ndarray, own: bool) -> np.ndarray:
+    """Of rows sorted by (f, c, d, at), those whose (f, c) an earlier place (or document) has."""
+    n = len(f)
+    new = np.ones(n, bool)
+    new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    return (d != d[first]) | (at != at[first]) if own else d != d[first]
+
+
 def pack(h: np.ndarray, at: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Tie-break of the document (15 bits), first window (40) and windows - 1 (8) in one number."""
     return (h.astype(np.int64) << 48) | (at << 8) | more
@@ -166,7 +185,13 @@ def _label(spec: Spec):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            later, opened = state.add(*(batch.column(x).to_numpy() for x in ("f", "c", "d", "at")))
+            f, c, d, at = (batch.column(x).to_numpy() for x in ("f", "c", "d", "at"))
+            known = at < 0
+            later = np.stack([f, d, at & ~DECIDED], 1)[known]
+            opened = np.zeros((0, 3), np.int64)
+            if not known.all():
+                more, opened = state.add(*(x[~known] for x in (f, c, d, at)))
+                later = np.concatenate([later, more])
             for rows, flag in ((later, False), (opened, True)):
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(np.full(len(rows), flag))], names=["f", "d", "at", "open"])
