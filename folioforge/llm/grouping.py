@@ -18,13 +18,13 @@ def by_key(df: DataFrame, *keys: str, then: tuple[str, ...] = ()) -> DataFrame:
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 4096) -> Iterator[pa.Table]:
     """Tables that end where a key ends, of about `least_rows` rows or one longer group."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, wanted = 0, least_rows
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < least_rows:
+        if rows < wanted:
             continue
         table = pa.Table.from_batches(held)
         last = last_start(table, keys)
@@ -32,7 +32,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows:
             yield table.slice(0, last).combine_chunks()
         held = table.slice(last).to_batches()
         rows = table.num_rows - last
-        least_rows = max(4096, 2 * rows)
+        wanted = max(least_rows, 2 * rows)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

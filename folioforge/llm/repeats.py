@@ -34,8 +34,10 @@ from .common import stored
 from .grouping import by_key, whole_groups
 from .texthash import _WORDS, Words, byte_values, chunks, mix64, signed, text_buffer, window_hash
 
-#: Open contexts of one anchor that one shard takes at most.
-HOT = 20_000
+#: Open contexts of one anchor that one shard takes at most, and contexts of a shard: an automaton
+#: holds far more for each of its units than a suffix order does.
+HOT = {"byte": 20_000, "word": 2_000}
+SHARD = {"byte": 4_096, "word": 1_024}
 #: Marks a place whose windows are known to repeat.
 DECIDED = np.int64(-(1 << 63))
 LAST = (1 << 63) - 1
@@ -241,7 +243,7 @@ def _decided(spec: Spec):
 
 def _shards(spec: Spec, engine: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["f"]):
+        for table in whole_groups(batches, ["f"], SHARD[spec.unit]):
             d, at = (table.column(x).to_numpy() for x in ("d", "at"))
             h, start, _ = unpack(at)
             row, window = engine(table.column("context").combine_chunks(), d, at, spec)
@@ -295,7 +297,7 @@ def repeated_spans(base: DataFrame, spec: Spec, engine: Callable) -> DataFrame:
     spans = "d long, h long, span long"
     decided = labelled.where("not open").select("d", "at").mapInArrow(_decided(spec), spans)
     opened = labelled.where("open").select("f", "d", "at").distinct()
-    many = opened.groupBy("f").count().where(F.col("count") > HOT).select("f", F.lit(True).alias("hot"))
+    many = opened.groupBy("f").count().where(F.col("count") > HOT[spec.unit]).select("f", F.lit(True).alias("hot"))
     opened = opened.join(many, "f", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     per_doc = opened.groupBy("d", F.shiftright("at", 48).alias("h")).agg(F.collect_list(F.struct("f", "at", "hot")).alias("rows"))
     contexts = stored(base.join(per_doc, ["d", "h"]).dropDuplicates(["d", "h"]).mapInArrow(_cut(spec), "f long, d long, at long, hot boolean, context binary"), "contexts")

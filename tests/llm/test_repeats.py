@@ -62,7 +62,7 @@ def brute_words(rows, w):
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_bytes_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT", {"byte": hot, "word": hot})
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, h int").repartition(3)
     got = sorted(tuple(r) for r in lpf_dedup.remove_repeats(docs).collect())
@@ -72,7 +72,7 @@ def test_bytes_match_brute_force(spark, monkeypatch, hot):
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_words_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT", {"byte": hot, "word": hot})
     rows = corpus(6)
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, d int").repartition(3)
     got = sorted(tuple(r) for r in automaton_dedup.remove_repeats(docs, width=20, gram=5).collect())
