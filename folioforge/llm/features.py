@@ -55,23 +55,25 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def linear_svm(x: np.ndarray, sign: np.ndarray, cost: float = 4.0, epochs: int = 30, seed: int = 0) -> np.ndarray:
     """L2-loss linear SVM by dual coordinate descent (Hsieh et al., ICML 2008); the last weight is the bias."""
     rng = np.random.default_rng(seed)
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
+    x = np.ascontiguousarray(x, np.float32)
     share = np.where(sign > 0, (sign > 0).mean(), (sign < 0).mean())
     inverse = share / cost  # each class weighs the same: 1 / (2 C_i)
-    q = np.einsum("ij,ij->i", x, x) + inverse
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
+    q = np.einsum("ij,ij->i", x, x).astype(float) + 1 + inverse
+    alpha, w, bias = np.zeros(len(x)), np.zeros(x.shape[1], np.float32), 0.0
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            g = sign[i] * (w @ x[i]) - 1 + inverse[i] * alpha[i]
+            g = sign[i] * (float(w @ x[i]) + bias) - 1 + inverse[i] * alpha[i]
             new = max(alpha[i] - g / q[i], 0.0)
-            if new != alpha[i]:
-                w += (new - alpha[i]) * sign[i] * x[i]
-                moved = max(moved, abs(new - alpha[i]))
+            step = (new - alpha[i]) * sign[i]
+            if step:
+                w += np.float32(step) * x[i]
+                bias += step
+                moved = max(moved, abs(step))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def randomized_svd(x: np.ndarray, rank: int, seed: int = 0, rounds: int = 4) -> np.ndarray:

@@ -30,7 +30,7 @@ from .features import hashed_counts, linear_svm, unit_rows
 from .texthash import chunks, text_buffer
 
 BITS = 12
-SAMPLE = 4000
+SAMPLE = 2000
 GRAMS = [("lower", 2), ("lower", 3), ("lower", 4)]
 UNKNOWN = "und"
 
@@ -117,8 +117,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> HierarchicalModel:
     got = picked.mapInArrow(_features, "doc_id long, lang string, x binary").toArrow()
     lang = np.array(got.column("lang").to_pylist(), object)
     order = np.lexsort((np.array(got.column("doc_id").to_pylist()), lang))
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, 1 << BITS).astype(np.float32)
-    return HierarchicalModel(x[order], lang[order])
+    column = got.column("x")
+    del got
+    x = np.empty((len(lang), 1 << BITS), np.float32)
+    for to, row in enumerate(order.tolist()):
+        x[to] = np.frombuffer(column[row].as_buffer(), np.float16)
+    del column
+    return HierarchicalModel(x, lang[order])
 
 
 def _predict(model: HierarchicalModel):
