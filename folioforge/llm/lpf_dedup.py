@@ -94,12 +94,12 @@ def _nearest_smaller(at: np.ndarray, common: np.ndarray, depth: int) -> np.ndarr
 
 
 def lpf_engine(contexts: pa.Array, d: np.ndarray, at: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and window numbers that start earlier; rows are sorted by anchor, document and place."""
+    """Rows and window numbers that start earlier; rows are sorted by anchor, document (id and hash) and place."""
     parts = contexts.to_pylist()
     buffer = np.frombuffer(b"".join(parts), np.uint8)
     size = np.array([len(p) for p in parts], np.int64)
     first = np.cumsum(size) - size
-    _, _, more = unpack(at)
+    _, more = unpack(at)
     row = np.repeat(np.arange(len(parts)), more + 1)
     window = np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
     again = previous_factors(buffer, first[row] + window, spec.width) >= spec.width

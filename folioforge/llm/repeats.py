@@ -16,7 +16,8 @@ byte or a word. The steps, none of which compares a document with the whole corp
 4. Anchors with more than HOT open contexts are not sent to one shard: their windows are hashed to
    128 bits and each window is its own key.
 
-Documents are ordered by id, null last; rows that repeat id and text are one document.
+Documents are ordered by id, null last, and then by a 64-bit hash of the text, which is a key column
+of its own: texts that share an id, or have none, stay apart. Rows that repeat id and text are one document.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -102,38 +103,38 @@ def _anchors(spec: Spec):
             values, first = units(batch.column("text"), spec.unit)
             doc, at, more, anchor, context = anchor_runs(values, first, spec)
             d, h = (batch.column(c).to_numpy()[doc] for c in ("d", "h"))
-            f, c, place = signed(anchor), signed(context), pack(h, at, more)
-            order = np.lexsort((place, d, c, f))
-            f, c, d, place = f[order], c[order], d[order], place[order]
-            again = _came_before(f, c, d, place, spec.own)
+            f, c, place = signed(anchor), signed(context), pack(at, more)
+            order = np.lexsort((place, h, d, c, f))
+            f, c, d, h, place = f[order], c[order], d[order], h[order], place[order]
+            again = _came_before(f, c, d, h, place, spec.own)
             # What this batch decides need not meet its anchor: it is dealt by its place instead.
-            f = np.where(again, signed(mix64((place ^ d).view(np.uint64))), f)
+            f = np.where(again, signed(mix64((place ^ d ^ h).view(np.uint64))), f)
             place = np.where(again, place | DECIDED, place)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c), pa.array(d), pa.array(place)], names=["f", "c", "d", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c), pa.array(d), pa.array(h), pa.array(place)], names=["f", "c", "d", "h", "at"])
 
     return run
 
 
-def _came_before(f: np.ndarray, c: np.ndarray, d: np.ndarray, at: np.ndarray, own: bool) -> np.ndarray:
-    """Of rows sorted by (f, c, d, at), those whose (f, c) an earlier place (or document) has."""
+def _came_before(f: np.ndarray, c: np.ndarray, d: np.ndarray, h: np.ndarray, at: np.ndarray, own: bool) -> np.ndarray:
+    """Of rows sorted by (f, c, d, h, at), those whose (f, c) an earlier place (or document) has."""
     n = len(f)
     new = np.ones(n, bool)
     new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    return (d != d[first]) | (at != at[first]) if own else d != d[first]
+    return (d != d[first]) | (h != h[first]) | (at != at[first]) if own else d != d[first]
 
 
-def pack(h: np.ndarray, at: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Tie-break of the document (15 bits), first window (40) and windows - 1 (8) in one number."""
-    return (h.astype(np.int64) << 48) | (at << 8) | more
+def pack(at: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """First window (40 bits) and windows - 1 (8) in one number."""
+    return (at << 8) | more
 
 
-def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return at >> 48, (at >> 8) & ((1 << 40) - 1), at & 255
+def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (at >> 8) & ((1 << 40) - 1), at & 255
 
 
 class Streamed:
-    """Decides rows that come sorted by (group, key, document, place), batch by batch.
+    """Decides rows that come sorted by (group, key, document's id and hash, place), batch by batch.
 
     A row is `later` if its key came before from another place (or, unless `own`, another
     document). Rows that are not later are `open` if their group has a second key.
@@ -141,28 +142,28 @@ class Streamed:
 
     def __init__(self, own: bool):
         self.own = own
-        self.last: tuple[int, int, int, int] | None = None  # group, key, and document and place of the key's first row
+        self.last: tuple[int, int, int, int, int] | None = None  # group, key, and document (id, hash) and place of the key's first row
         self.several = False
         self.pending: list[np.ndarray] = []
 
-    def add(self, f: np.ndarray, c: np.ndarray, d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (f, d, at) that are later, and that are open."""
+    def add(self, f: np.ndarray, c: np.ndarray, d: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (f, d, h, at) that are later, and that are open."""
         n = len(f)
         new_f, new_c = np.ones(n, bool), np.ones(n, bool)
         new_f[1:] = f[1:] != f[:-1]
         new_c[1:] = new_f[1:] | (c[1:] != c[:-1])
-        lf, lc, ld, la = self.last or (0, 0, 0, 0)
+        lf, lc, ld, lh, la = self.last or (0, 0, 0, 0, 0)
         if self.last is not None:
             new_f[0] = f[0] != lf
             new_c[0] = new_f[0] or c[0] != lc
         first = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
         held = first < 0
-        fd, fa = np.where(held, ld, d[first]), np.where(held, la, at[first])
-        later = (d != fd) | (at != fa) if self.own else d != fd
+        fd, fh, fa = np.where(held, ld, d[first]), np.where(held, lh, h[first]), np.where(held, la, at[first])
+        later = (d != fd) | (h != fh) | (at != fa) if self.own else d != fd
         group = np.cumsum(new_f)
         several = np.zeros(group[-1] + 1, bool)
         several[group[new_c & ~new_f]] = True
-        rows = np.stack([f, d, at], 1)
+        rows = np.stack([f, d, h, at], 1)
         opened = [rows[~later & several[group]]]
         if self.several and group[0] == 0:
             several[0] = True
@@ -177,7 +178,7 @@ class Streamed:
         if not self.several:
             self.pending.append(rows[~later & (group == end)])
         k = first[-1]
-        self.last = (int(f[-1]), int(c[-1]), int(fd[-1]), int(fa[-1])) if k < 0 else (int(f[k]), int(c[k]), int(d[k]), int(at[k]))
+        self.last = (int(f[-1]), int(c[-1]), int(fd[-1]), int(fh[-1]), int(fa[-1])) if k < 0 else (int(f[k]), int(c[k]), int(d[k]), int(h[k]), int(at[k]))
         return rows[later], np.concatenate(opened)
 
 
@@ -187,16 +188,16 @@ def _label(spec: Spec):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            f, c, d, at = (batch.column(x).to_numpy() for x in ("f", "c", "d", "at"))
+            f, c, d, h, at = (batch.column(x).to_numpy() for x in ("f", "c", "d", "h", "at"))
             known = at < 0
-            later = np.stack([f, d, at & ~DECIDED], 1)[known]
-            opened = np.zeros((0, 3), np.int64)
+            later = np.stack([f, d, h, at & ~DECIDED], 1)[known]
+            opened = np.zeros((0, 4), np.int64)
             if not known.all():
-                more, opened = state.add(*(x[~known] for x in (f, c, d, at)))
+                more, opened = state.add(*(x[~known] for x in (f, c, d, h, at)))
                 later = np.concatenate([later, more])
             for rows, flag in ((later, False), (opened, True)):
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(np.full(len(rows), flag))], names=["f", "d", "at", "open"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(4)), pa.array(np.full(len(rows), flag))], names=["f", "d", "h", "at", "open"])
 
     return run
 
@@ -219,11 +220,12 @@ def _cut(spec: Spec):
             flat = rows.flatten()
             f, at = flat.field("f").to_numpy(), flat.field("at").to_numpy()
             hot = flat.field("hot").to_numpy(zero_copy_only=False)
-            _, start, more = unpack(at)
+            start, more = unpack(at)
             low = ((first[doc] + start) * size).tolist()
             high = ((first[doc] + start + more + spec.width) * size).tolist()
             context = pa.array([raw[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(batch.column("d").to_numpy()[doc]), pa.array(at), pa.array(hot), context], names=["f", "d", "at", "hot", "context"])
+            d, h = (pa.array(batch.column(c).to_numpy()[doc]) for c in ("d", "h"))
+            yield pa.RecordBatch.from_arrays([pa.array(f), d, h, pa.array(at), pa.array(hot), context], names=["f", "d", "h", "at", "hot", "context"])
 
     return run
 
@@ -235,8 +237,8 @@ def span_rows(d: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray)
 def _decided(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, start, more = unpack(batch.column("at").to_numpy())
-            yield span_rows(batch.column("d").to_numpy(), h, start, start + more + spec.width)
+            start, more = unpack(batch.column("at").to_numpy())
+            yield span_rows(batch.column("d").to_numpy(), batch.column("h").to_numpy(), start, start + more + spec.width)
 
     return run
 
@@ -244,8 +246,8 @@ def _decided(spec: Spec):
 def _shards(spec: Spec, engine: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["f"], SHARD[spec.unit]):
-            d, at = (table.column(x).to_numpy() for x in ("d", "at"))
-            h, start, _ = unpack(at)
+            d, h, at = (table.column(x).to_numpy() for x in ("d", "h", "at"))
+            start, _ = unpack(at)
             row, window = engine(table.column("context").combine_chunks(), d, at, spec)
             yield span_rows(d[row], h[row], start[row] + window, start[row] + window + spec.width)
 
@@ -257,15 +259,15 @@ def _windows(spec: Spec):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, at = (batch.column(x).to_numpy() for x in ("d", "at"))
-            h, start, more = unpack(at)
+            d, h, at = (batch.column(x).to_numpy() for x in ("d", "h", "at"))
+            start, more = unpack(at)
             for k, context in enumerate(batch.column("context").to_pylist()):
                 values = byte_values(np.frombuffer(context, np.uint8)) if spec.unit == "byte" else np.frombuffer(context, np.uint64)
                 one = window_hash(values, spec.width)
                 two = window_hash(mix64(values + np.uint64(0x51)), spec.width, base="byte")
                 place = start[k] + np.arange(more[k] + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(one)), pa.array(signed(two)), pa.array(np.full(len(one), d[k])), pa.array(pack(np.full(len(one), h[k]), place, np.zeros(len(one), np.int64)))], names=["f", "c", "d", "at"]
+                    [pa.array(signed(one)), pa.array(signed(two)), pa.array(np.full(len(one), d[k])), pa.array(np.full(len(one), h[k])), pa.array(pack(place, np.zeros(len(one), np.int64)))], names=["f", "c", "d", "h", "at"]
                 )
 
     return run
@@ -276,34 +278,33 @@ def _window_spans(spec: Spec):
         state = Streamed(spec.own)
         for batch in batches:
             if batch.num_rows:
-                later, _ = state.add(*(batch.column(x).to_numpy() for x in ("f", "c", "d", "at")))
-                h, start, _ = unpack(later[:, 2])
-                yield span_rows(later[:, 1], h, start, start + spec.width)
+                later, _ = state.add(*(batch.column(x).to_numpy() for x in ("f", "c", "d", "h", "at")))
+                start, _ = unpack(later[:, 3])
+                yield span_rows(later[:, 1], later[:, 2], start, start + spec.width)
 
     return run
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, h, text): the id, null last, and a tie-break for ids that come with several texts."""
+    """(d, h, text): the id, null last, and the text's hash, which tells apart the texts of one id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tie: Column = F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).cast("long")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), tie.alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def repeated_spans(base: DataFrame, spec: Spec, engine: Callable) -> DataFrame:
     """(d, h, span) of all windows that start earlier; span is start << 24 | length."""
-    anchors = base.mapInArrow(_anchors(spec), "f long, c long, d long, at long")
-    labelled = stored(by_key(anchors, "f", then=("c", "d", "at")).mapInArrow(_label(spec), "f long, d long, at long, open boolean"), "anchors")
+    anchors = base.mapInArrow(_anchors(spec), "f long, c long, d long, h long, at long")
+    labelled = stored(by_key(anchors, "f", then=("c", "d", "h", "at")).mapInArrow(_label(spec), "f long, d long, h long, at long, open boolean"), "anchors")
     spans = "d long, h long, span long"
-    decided = labelled.where("not open").select("d", "at").mapInArrow(_decided(spec), spans)
-    opened = labelled.where("open").select("f", "d", "at").distinct()
+    decided = labelled.where("not open").select("d", "h", "at").mapInArrow(_decided(spec), spans)
+    opened = labelled.where("open").select("f", "d", "h", "at").distinct()
     many = opened.groupBy("f").count().where(F.col("count") > HOT[spec.unit]).select("f", F.lit(True).alias("hot"))
     opened = opened.join(many, "f", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    per_doc = opened.groupBy("d", F.shiftright("at", 48).alias("h")).agg(F.collect_list(F.struct("f", "at", "hot")).alias("rows"))
-    contexts = stored(base.join(per_doc, ["d", "h"]).dropDuplicates(["d", "h"]).mapInArrow(_cut(spec), "f long, d long, at long, hot boolean, context binary"), "contexts")
-    cold = by_key(contexts.where("not hot").drop("hot"), "f", then=("d", "at")).mapInArrow(_shards(spec, engine), spans)
-    windows = contexts.where("hot").select("d", "at", "context").mapInArrow(_windows(spec), "f long, c long, d long, at long")
-    hot = by_key(windows, "f", "c", then=("d", "at")).mapInArrow(_window_spans(spec), spans)
+    per_doc = opened.groupBy("d", "h").agg(F.collect_list(F.struct("f", "at", "hot")).alias("rows"))
+    contexts = stored(base.join(per_doc, ["d", "h"]).dropDuplicates(["d", "h"]).mapInArrow(_cut(spec), "f long, d long, h long, at long, hot boolean, context binary"), "contexts")
+    cold = by_key(contexts.where("not hot").drop("hot"), "f", then=("d", "h", "at")).mapInArrow(_shards(spec, engine), spans)
+    windows = contexts.where("hot").select("d", "h", "at", "context").mapInArrow(_windows(spec), "f long, c long, d long, h long, at long")
+    hot = by_key(windows, "f", "c", then=("d", "h", "at")).mapInArrow(_window_spans(spec), spans)
     return decided.unionByName(cold).unionByName(hot)
 
 

@@ -93,6 +93,26 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert lpf_dedup.remove_repeats(nothing).count() == automaton_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_many_texts_of_one_id_and_of_none(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", {"byte": hot, "word": hot})
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    passages, rows = [], []
+    for i in range(600):  # each repeats a passage of its own, so the order among them does not matter
+        passages.append(words(60))
+        body = words(rng.randint(5, 60))
+        at = rng.randint(0, len(body))
+        rows.append((None if i % 3 else 7, " ".join(body[:at] + passages[-1] + body[at:])))
+    rows.append((1, " ".join(w for p in passages for w in p)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    last = 1 << 40
+    brute = [(last if i is None else i, t) for i, t in rows]
+    named = lambda got: sorted((last if r[0] is None else r[0], *r[1:]) for r in got)
+    assert named(lpf_dedup.remove_repeats(docs).collect()) == brute_bytes(brute, 100)
+    assert named(automaton_dedup.remove_repeats(docs).collect()) == brute_words(brute, 50)
+
+
 def test_previous_factors_of_one_text():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 3000).astype(np.uint8)
