@@ -119,3 +119,18 @@ def test_context_mixing(spark, monkeypatch):
     assert cm.score_texts(docs.limit(0)).count() == 0
     nothing = cm.score_texts(docs.where("doc_id is null")).collect()
     assert [(r.train_tokens, r.n_known) for r in nothing] == [(0, 0)] and nothing[0].score < 0
+
+
+def test_context_mixing_learns_from_all_documents(spark, monkeypatch):
+    rows = [(i, f"{t} rare{i}") for i, t, _ in corpus(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    mixers, score = [], cm._score
+    monkeypatch.setattr(cm, "_score", lambda mixer, *rest: (mixers.append(mixer), score(mixer, *rest))[1])
+    cm.score_texts(docs).count()
+    texts = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    buffer, offsets = cm.text_buffer(cm.pa.array(texts))
+    coder = mixers[0].coder
+    assert mixers[0].fitted == sum(len(s[2]) for s in coder.streams(cm.Words(buffer, offsets))[2])
+    count = collections.Counter(w for t in texts for w in t.split())
+    escaped = collections.Counter(b for w, n in count.items() if n < cm.LEAST for b in n * (w + " ").encode())
+    assert np.array_equal(coder.byte_length, cm.huffman_lengths(np.array([escaped[b] + 1 for b in range(256)])))
