@@ -1,8 +1,9 @@
-"""Brings this package to the Python workers where their path does not already have it."""
+"""Brings this package to the Python workers where their path does not already have it, and names the shared folder."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,6 +13,23 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder for tables between steps, which is also made the checkpoint folder.
+
+    It is spark.checkpoint.dir, or the checkpoint folder that was set, or a folder in the warehouse,
+    which executors share. Only a session of one machine (master local[...]) gets a temporary folder.
+    """
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not found:
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", context.master)
+        found = "file://" + tempfile.mkdtemp(prefix="folioforge-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_folioforge_work"
+    if not held.isDefined():
+        context.setCheckpointDir(found)
+    return found
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's files to the executors, once for each application."""
     package = Path(__file__).resolve().parent
