@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval (Teflioudi et al., SIGMOD 2015).
 
-Query vectors come in blocks of bounded size, each broadcast in turn. A task sorts the
-vectors of an Arrow batch by length and cuts them into buckets. For a query with running
+Query vectors come in blocks of at most BLOCK, each broadcast in turn; ROUND blocks share a job,
+whose answers are written before the next, so that neither plan nor broadcasts grow with the queries.
+A task sorts the vectors of an Arrow batch by length and cuts them into buckets. For a query with running
 k-th best score t, bucket vectors need a cosine of at least t / (|q| * longest); a bucket
 where that exceeds 1 is skipped. Else the bucket's local threshold chooses the pruning:
 high, only vectors whose value in the query's largest coordinate is feasible for that angle
@@ -9,8 +10,11 @@ high, only vectors whose value in the query's largest coordinate is feasible for
 computed exactly in integers. Each task sends k rows a query at most; a ranked window merges.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part,
-nor do rows without an id; shorter vectors count as padded with zeros; a query's own id is
-no candidate; repeated rows are candidates each; fewer than k candidates give fewer rows.
+nor do rows without an id; shorter vectors count as padded with zeros, however long others are; a
+query's own id is no candidate; repeated rows are candidates each; an id with several vectors asks
+with each of them, and its k rows are the best over all; ties go to the smaller id; fewer than k
+candidates give fewer rows and an empty table none; components beyond 64 bits count as the nearest
+64-bit number, and so do products; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import table
+from .common import stored, table
 
-BLOCK = 2048
+BLOCK = 1 << 14
+ROUND = 8
 BUCKET_ROWS = 512
+#: Queries whose products with a bucket are computed at a time.
+STRIP = 2048
 COORDINATE_FROM = 0.8
 _EXACT = float(1 << 53)
+_MOST = (1 << 63) - 1
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -50,6 +58,11 @@ def _matrix(column: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
+def _whole(score: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit numbers; those beyond are the nearest."""
+    return (np.clip(score, -_MOST, _MOST) if score.dtype == object else score).astype(np.int64)
+
+
 class NormBuckets:
     """Running top k of a block of queries over batches of vectors."""
 
@@ -87,24 +100,33 @@ class NormBuckets:
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = np.where((self.norm[by_length] > 0) & (self.floor[by_length] > 0), self.floor[by_length] / self.norm[by_length] * (1 - 1e-9), 0)
             prefix = int(np.searchsorted(-norm, -least.min(), side="right"))
-            score = (q[by_length] @ v[:prefix].T).astype(np.float64 if q.dtype != object else object)
-            a, b = np.nonzero((score >= self.floor[by_length][:, None]).astype(bool))
-            found.append((by_length[a], b, score[a, b].astype(np.int64)))
+            for at in range(0, len(by_length), STRIP):
+                rows = by_length[at : at + STRIP]
+                score = q[rows] @ v[:prefix].T
+                a, b = np.nonzero((score >= self._least(rows)[:, None]).astype(bool))
+                found.append((rows[a], b, _whole(score[a, b])))
         if len(by_coordinate):
             spread = np.arccos(np.clip(local[by_coordinate], -1, 1)) + 1e-7
             low = np.cos(np.minimum(math.pi, self.angle[by_coordinate] + spread))
             high = np.cos(np.maximum(0, self.angle[by_coordinate] - spread))
-            value = v[:, self.focus[by_coordinate]].astype(np.float64).T / np.maximum(norm, 1e-300)[None, :]
-            a, b = np.nonzero((value >= low[:, None] - 1e-9) & (value <= high[:, None] + 1e-9))
-            score = (q[by_coordinate[a]] * v[b]).sum(1)
-            keep = (score >= self.floor[by_coordinate[a]]).astype(bool)
-            found.append((by_coordinate[a][keep], b[keep], score[keep].astype(np.int64)))
+            for at in range(0, len(by_coordinate), STRIP):
+                rows, some = by_coordinate[at : at + STRIP], slice(at, at + STRIP)
+                value = v[:, self.focus[rows]].astype(np.float64).T / np.maximum(norm, 1e-300)[None, :]
+                a, b = np.nonzero((value >= low[some, None] - 1e-9) & (value <= high[some, None] + 1e-9))
+                score = (q[rows[a]] * v[b]).sum(1)
+                keep = (score >= self._least(rows)[a]).astype(bool)
+                found.append((rows[a][keep], b[keep], _whole(score[keep])))
         if not found:
             return
         who, which, score = (np.concatenate(x) for x in zip(*found, strict=True))
         other = self.ids[who] != ids[which]
         self._merge(who[other], ids[which[other]], score[other])
 
+    def _least(self, rows: np.ndarray) -> np.ndarray:
+        """The floor of queries, a little lower where a double does not hold it exactly."""
+        floor = self.floor[rows]
+        return np.where(np.abs(floor) < _EXACT, floor, floor - np.abs(floor) * 1e-9)
+
     def _merge(self, who: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         if not len(who):
             return
@@ -136,18 +158,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
     rows, asked = quantised(vectors, id_col, vec_col, scale), quantised(queries, id_col, vec_col, scale).distinct()
     blocks = max(1, math.ceil(asked.count() / block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    parts = []
+    parts, done = [], []
     for b in range(blocks):
+        if len(parts) == ROUND:
+            done.append(stored(_union(parts), "top-k"))
+            parts = []
         got = asked.where(F.col("block") == b).select("id", "v").orderBy("id").toArrow().combine_chunks()
         ids = got.column("id").to_numpy()
         column = got.column("v").combine_chunks()
         matrix = _matrix(column) if len(ids) else np.zeros((0, 0), np.int64)
         parts.append(rows.mapInArrow(_search(ids, matrix, k), "query_id long, vec_id long, score long"))
+    merged = _union(done + parts)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return merged
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
