@@ -6,13 +6,15 @@ only sees sizes, and there are at most `window` of them, so the global plan is c
 histogram of sizes: runs of equal pieces go to runs of equally filled windows, found by a
 segment tree over the remaining capacity. Plan and histogram are bounded by the window, not by
 the data. Every piece then finds its place from its rank among the pieces of its size, which
-is a per-task count plus the counts of the tasks before; no group is collected.
+is a per-task count plus the counts of the tasks before; no group is collected. The table of those
+counts grows with the tasks, so it is joined by a sort-merge join on (size, task), never broadcast.
 
 A word's ids do not depend on its neighbours, since the tokenizer drops white space: each
 task tokenises each distinct piece of a word once and gathers the ids of whole texts from that.
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed each; a null
-doc_id stays null; an empty table gives no rows.
+doc_id stays null; a very long text is cut into as many windows as it fills; other columns, whatever
+their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import stored, table
 from .texthash import Words, chunks, lower_ascii, span_hash, text_buffer
 
@@ -277,6 +280,7 @@ def _place(plan: np.ndarray, window: int):
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = stored(rows.mapInArrow(_pieces(tokenizer_file, window), _PIECES), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
@@ -286,7 +290,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW) -> DataFram
     for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `window` rows
         counts[row.length] = row.n
     plan = best_fit_decreasing(counts, window)
-    ranked = pieces.join(by_task.drop("n"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = pieces.join(by_task.drop("n").hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_place(plan, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

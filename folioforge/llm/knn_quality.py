@@ -6,12 +6,14 @@ are broadcast, and the cosines of every document with every labelled vector are
 in blocks. The K nearest vote with their label, weighted by similarity; a prior worth one vote at
 cosine PRIOR_AT closes gaps.
 
-The classifier is fitted on a bounded sample of at most SAMPLE labelled documents, drawn by a hash
-of the identifier; the broadcast is SAMPLE x RANK floats and the projection 2**BITS x RANK.
+The classifier is fitted on a bounded sample: the SAMPLE labelled ids of least hash, never more. The
+broadcast is SAMPLE x RANK floats and the projection 2**BITS x RANK.
 
 Defined cases: empty or null text, and text too short for an n-gram, scores the prior (the share
-of label 1 in the sample; 0.5 without labels); repeated labels count each, null labels never; null
-ids are scored and never learned from; an empty table gives no rows.
+of label 1 in the sample; 0.5 without labels); of several labels of one id the largest counts, null
+labels never; of several texts of one id one counts (the least by its features); neighbours that tie
+for the K-th place are any of them; very long texts are scored whole; null ids are scored and never
+learned from; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,13 +84,12 @@ class NeighbourModel:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NeighbourModel:
     """Fit on (doc_id, text) and (doc_id, quality)."""
     ship(docs.sparkSession)
-    known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    total = known.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    # About `sample` rows of two numbers: fit to broadcast whatever the size of the table.
-    picked = known.where(draw < min(1.0, sample / max(total, 1)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
-    got = rows.mapInArrow(_features, "doc_id long, quality int, x binary").toArrow()
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    # `sample` rows of two numbers at most: fit to broadcast whatever the size of the table.
+    picked = known.orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "doc_id").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").where("text is not null")
+    featured = rows.mapInArrow(_features, "doc_id long, quality int, x binary")
+    got = featured.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
     order = np.argsort(np.array(got.column("doc_id").to_pylist(), np.int64), kind="stable")
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, DIMS)[order].astype(np.float32)
     return NeighbourModel(x, np.array(got.column("quality").to_pylist(), np.int64)[order])

@@ -6,12 +6,15 @@ scaled to length 1. Families are learned: languages whose mean vectors are close
 SVMs tell families apart; within a family every pair of languages has an SVM of its own, and
 the language with the most support wins, ties to the first in order.
 
-The classifier is fitted on a bounded sample: at most SAMPLE documents in all, drawn by a hash
-of the identifier, evenly over languages. The model is broadcast (languages x 2**BITS floats).
+The classifier is fitted on a bounded sample: about SAMPLE documents in all, drawn by a hash of
+the identifier, evenly over languages; each language gives its document of least hash in any case,
+so none is lost however many there are. The model is broadcast (languages x 2**BITS floats).
 
 Defined cases: null text or text without a letter gives `und` with score 0; without any
-labelled document everything is `und`; one language is predicted with score 1; null ids are
-scored and never learned from; an empty table gives no rows.
+labelled document everything is `und`; one language is predicted with score 1; equal support goes
+to the first language in order; null ids are scored and never learned from; rows that repeat are
+scored and learned from each; very long texts are read whole; an empty table gives no rows. A column
+named _letter, _lang_pred or _lang_score must not be in the input of `predict`; others pass through.
 """
 
 from __future__ import annotations
@@ -107,13 +110,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> HierarchicalModel:
     """Fit on rows of (doc_id, text, lang); null languages, texts and ids are left out."""
     ship(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).collect()  # a row for each language
     if not counts:
         return HierarchicalModel(np.zeros((0, 1 << BITS)), np.zeros(0, object))
     each = max(1, sample // len(counts))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    picked = rows.where(draw < rate[F.col("lang")]).select("doc_id", "lang", "text")
+    upto = docs.sparkSession.createDataFrame([(r.lang, max(r.least, int(min(1.0, each / r.n) * (1 << 30)) - 1)) for r in counts], "lang string, upto long")
+    picked = rows.join(F.broadcast(upto), "lang").where(hashed <= F.col("upto")).select("doc_id", "lang", "text")
     got = picked.mapInArrow(_features, "doc_id long, lang string, x binary").toArrow()
     lang = np.array(got.column("lang").to_pylist(), object)
     order = np.lexsort((np.array(got.column("doc_id").to_pylist()), lang))

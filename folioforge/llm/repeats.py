@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import stored
 from .grouping import by_key, whole_groups
 from .texthash import _WORDS, Words, byte_values, chunks, mix64, signed, text_buffer, window_hash
@@ -73,6 +74,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def least_places(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of every `width` values in a row, the leftmost of equal ones.
+
+    It depends on these values alone, not on what else is in the array. Low bits give way to the place
+    at first; windows where that changes the order are looked at again.
+    """
+    mask = np.uint64((1 << max(1, int(len(x)).bit_length())) - 1)
+    place = (sliding_min((x & ~mask) | np.arange(len(x), dtype=np.uint64), width) & mask).astype(np.int64)
+    wrong = np.flatnonzero(x[place] != sliding_min(x, width))
+    if len(wrong):
+        place[wrong] = wrong + np.lib.stride_tricks.sliding_window_view(x, width)[wrong].argmin(1)
+    return place
+
+
 def anchor_runs(values: np.ndarray, first: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
     """Document, first window, windows - 1, anchor hash and context hash of each run."""
     n = len(values)
@@ -80,13 +95,13 @@ def anchor_runs(values: np.ndarray, first: np.ndarray, spec: Spec) -> tuple[np.n
     if n < spec.width:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     gram = window_hash(values, spec.gram)
-    mask = np.uint64((1 << max(1, int(n).bit_length())) - 1)
-    least = sliding_min((gram & ~mask) | np.arange(len(gram), dtype=np.uint64), spec.width - spec.gram + 1)
+    span = spec.width - spec.gram + 1
+    least = least_places(gram, span)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.flatnonzero(np.arange(len(least)) + spec.width <= first[owner[: len(least)] + 1])
     if not len(start):
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    place = (least[start] & mask).astype(np.int64)
+    place = least[start]
     head = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
     a, b = start[head], start[np.concatenate([head[1:], [len(start)]]) - 1]
     up, down = _WORDS.get(n + 1)
@@ -293,6 +308,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(base: DataFrame, spec: Spec, engine: Callable) -> DataFrame:
     """(d, h, span) of all windows that start earlier; span is start << 24 | length."""
+    ship(base.sparkSession)
     anchors = base.mapInArrow(_anchors(spec), "f long, c long, d long, h long, at long")
     labelled = stored(by_key(anchors, "f", then=("c", "d", "h", "at")).mapInArrow(_label(spec), "f long, d long, h long, at long, open boolean"), "anchors")
     spans = "d long, h long, span long"

@@ -134,3 +134,43 @@ def test_context_mixing_learns_from_all_documents(spark, monkeypatch):
     count = collections.Counter(w for t in texts for w in t.split())
     escaped = collections.Counter(b for w, n in count.items() if n < cm.LEAST for b in n * (w + " ").encode())
     assert np.array_equal(coder.byte_length, cm.huffman_lengths(np.array([escaped[b] + 1 for b in range(256)])))
+
+
+def test_language_equals_brute_force(spark):
+    rows = corpus(120, seed=7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    mask = (1 << 64) - 1
+
+    def vector(t):
+        out = np.zeros(1 << language_id.BITS)
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        for salt, (_, order) in enumerate(language_id.GRAMS, 1):
+            for i in range(len(data) - order + 1):
+                key = (int.from_bytes(data[i : i + order], "big") + (salt << 56)) * 0x9E3779B97F4A7C15 & mask
+                key = (key ^ key >> 29) * 0x9E3779B97F4A7C15 & mask
+                out[key >> (64 - language_id.BITS)] += 1
+        out = np.sqrt(out)
+        return out / (np.linalg.norm(out) or 1)
+
+    def brute(t):
+        x = np.append(vector(t), 1)
+        family = int(np.argmax([w @ x for w in model.family_w]))
+        members = model.families[family]
+        support = {a: sum(1 / (1 + np.exp(-2 * (model.pairs[min(a, b), max(a, b)] @ x) * (1 if a < b else -1))) for b in members if b != a) for a in members}
+        return model.langs[max(members, key=lambda a: (support[a], -a))]
+
+    got = {r.doc_id: r._lang_pred for r in language_id.predict(docs, model).collect()}
+    assert got == {i: brute(t) for i, t, _ in rows}
+
+
+def test_no_language_is_lost(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text", f"l{min(i, 30)}") for i in range(200)], "doc_id long, text string, lang string")
+    assert language_id.train(docs, sample=5).langs == sorted(f"l{i}" for i in range(31))
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, f"some words {i} of text") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 50, i % 2) for i in range(150)], "doc_id long, quality int")
+    assert len(knn_quality.train(docs, labels, sample=20).label) == 20
+    assert len(knn_quality.train(docs, labels).label) == 50

@@ -137,3 +137,18 @@ def test_automaton_statistics():
     text = [rng.choice("abc") for _ in range(80)]
     for i, m in enumerate(automaton.statistics(text)):
         assert m == max(k for k in range(i + 2) if k == 0 or any("".join(text[i + 1 - k : i + 1]) in j for j in joined))
+
+
+def test_anchors_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    x[100:110] = x[90]  # ties
+    x[200], x[203] = (x[200] >> np.uint64(12)) << np.uint64(12) | np.uint64(9), (x[200] >> np.uint64(12)) << np.uint64(12) | np.uint64(3)
+    x[200:204].sort()
+    x[200], x[203] = x[203], x[200]  # equal high bits, the later one is smaller
+    x[200:204] >>= np.uint64(8)
+    alone = repeats.least_places(x, 20)
+    padded = np.concatenate([rng.integers(0, 1 << 63, 100_000).astype(np.uint64), x, rng.integers(0, 1 << 63, 400_000).astype(np.uint64)])
+    within = repeats.least_places(padded, 20)[100_000 : 100_000 + len(alone)] - 100_000
+    assert (alone == within).all()
+    assert all(alone[i] == i + min(range(20), key=lambda k: (x[i + k], k)) for i in range(len(alone)))
