@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -87,10 +88,18 @@ def test_linear_algebra():
 def test_codes_are_prefix_free():
     rng = np.random.default_rng(4)
     lengths = cm.huffman_lengths(rng.integers(1, 10_000, 300))
-    codes = cm.canonical_codes(lengths)
-    words = sorted(format(c, f"0{n}b") for c, n in zip(codes.tolist(), lengths.tolist(), strict=True))
+    code = cm.Code(lengths)
+    words = sorted(format(c, f"0{n}b") for c, n in zip(code.code.tolist(), lengths.tolist(), strict=True))
     assert not any(b.startswith(a) for a, b in zip(words, words[1:], strict=False))
     assert sum(2.0**-n for n in lengths.tolist()) == 1.0
+    size, node, low = code.steps(np.arange(300))
+    assert sorted(set(node.tolist())) == list(range(299)) == list(range(code.nodes))
+    prefixes = {}
+    for s, (c, n) in enumerate(zip(code.code.tolist(), lengths.tolist(), strict=True)):
+        at = int(size[:s].sum())
+        for d in range(n):  # nodes are those of the prefixes
+            assert prefixes.setdefault(format(c, f"0{n}b")[:d], node[at + d]) == node[at + d]
+            assert low[at + d] & 1 == c >> (n - 1 - d) & 1
 
 
 def test_both_outcomes_of_a_bit_sum_to_one():
@@ -114,8 +123,11 @@ def test_context_mixing(spark, monkeypatch):
         assert math.isclose(r["base_score"], sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
         assert r["score"] < 0
     monkeypatch.setattr(cm, "FAN_IN", 1)  # sums in two steps
-    again = {r.doc_id: r.score for r in cm.score_texts(docs.repartition(5)).collect()}
+    again = {r.doc_id: r.score for r in cm.score_texts(docs).collect()}
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-6 for r in got)
+    again = {r.doc_id: r.score for r in cm.score_texts(docs.repartition(5)).collect()}  # weights learned in another order
+    assert all(abs(again[r["doc_id"]] / r["score"] - 1) < 0.1 for r in got)
+    assert all(math.isclose(r["bits_per_byte"], -r["score"] * math.log2(10) / (len((dict(rows)[r["doc_id"]] or "").encode()) + 1)) for r in got)
     assert cm.score_texts(docs.limit(0)).count() == 0
     nothing = cm.score_texts(docs.where("doc_id is null")).collect()
     assert [(r.train_tokens, r.n_known) for r in nothing] == [(0, 0)] and nothing[0].score < 0
@@ -130,10 +142,58 @@ def test_context_mixing_learns_from_all_documents(spark, monkeypatch):
     texts = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
     buffer, offsets = cm.text_buffer(cm.pa.array(texts))
     coder = mixers[0].coder
-    assert mixers[0].fitted == sum(len(s[2]) for s in coder.streams(cm.Words(buffer, offsets))[2])
-    count = collections.Counter(w for t in texts for w in t.split())
-    escaped = collections.Counter(b for w, n in count.items() if n < cm.LEAST for b in n * (w + " ").encode())
-    assert np.array_equal(coder.byte_length, cm.huffman_lengths(np.array([escaped[b] + 1 for b in range(256)])))
+    assert coder.counts.sum() + coder.weight[-2:].sum() - 2 == sum(len(t.split()) + 1 for t in texts)
+    assert mixers[0].fitted > sum(len(s[1]) for s in coder.streams(cm.Words(buffer, offsets))[1]) / cm.STRIDE - 100
+    # The summed tables are those of one pass over all training documents.
+    one = cm.Counter(coder)
+    one.add(coder.streams(cm.Words(buffer, offsets))[1])
+    for cells, counts in zip([*mixers[0].cells[0][1:], *mixers[0].cells[1]], [*one.tables[0][1:], *one.tables[1]], strict=True):
+        assert np.array_equal(cells, cm._cells(counts[::2], counts[1::2]))
+    count = collections.Counter(b for t in texts for w in t.split() for b in (w + " ").encode())
+    assert np.array_equal(coder.letters.length, cm.huffman_lengths(np.array([count[b] + 1 for b in range(256)])))
+
+
+def test_score_equals_bit_by_bit():
+    """The score of texts from plain loops over their code bits, with exact logistic functions."""
+    rng = random.Random(3)
+    texts = ["".join(text(rng, rng.choice(list(SYLLABLES)), 30)) for _ in range(60)]
+    words_of = [t.lower().split() for t in texts]
+    words = cm.Words(*cm.text_buffer(cm.pa.array([" ".join(w) for w in words_of])))
+    hashes, counts = np.unique(words.hash, return_counts=True)
+    name = dict(zip([w for ws in words_of for w in ws], words.hash.tolist(), strict=True))
+    keep = counts >= 2
+    coder = cm.Coder(hashes[keep], counts[keep], int(counts[~keep].sum()), len(texts), np.bincount(np.frombuffer(" ".join(texts).lower().encode(), np.uint8), minlength=256), 16)
+    counter = cm.Counter(coder)
+    streams = coder.streams(words)[1]
+    counter.add(streams)
+    tables = [types.SimpleNamespace(**dict(zip(("place", "part", "salt", "used", "counts", "large"), row, strict=True))) for b in counter.rows(0) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    mixer = cm.Mixer(coder, tables)
+    got = mixer.cost(len(texts), streams)
+    symbol = {int(h): i for i, h in enumerate(coder.words)}
+    escape = len(symbol) + 1
+
+    def code_bits(code, s):
+        return [code.code[s] >> (code.length[s] - 1 - d) & 1 for d in range(code.length[s])]
+
+    for i, ws in enumerate(words_of):
+        bits = [b for w in ws for b in code_bits(coder.code, symbol.get(name[w], escape))] + code_bits(coder.code, len(symbol))
+        spelled = [b for w in ws if name[w] not in symbol for c in (w + " ").encode() for b in code_bits(coder.letters, c)]
+        total = 0.0
+        for kind, outcomes in enumerate((bits, spelled)):
+            at = int(streams[kind][0][:i].sum())
+            assert (streams[kind][1][at : at + len(outcomes)] & 1).tolist() == outcomes
+            own, pull = np.zeros(3), []
+            for k, bit in enumerate(outcomes):
+                cell = [int(t[s[at + k]]) for t, s in zip(mixer.cells[kind], streams[kind][2], strict=True)]
+                x = np.array([(c >> 2) / 32 - 8 for c in cell])
+                depth = kind * cm.DEPTHS + int(streams[kind][1][at + k] >> 1)
+                mixed = float(np.clip((mixer.weight[depth * 9 + 3 * (cell[1] & 3) + (cell[2] & 3)] + own) @ x, -8, 8))
+                final = (mixed + float(mixer.refined[depth, int((mixed + 8.25) * 2)])) / 2
+                total += math.log2(1 + math.exp(-final if bit else final))
+                pull.append((bit - 1 / (1 + math.exp(-mixed))) * x)
+                if len(pull) == cm.BLOCK:
+                    own, pull = own + cm.RATE / (len(pull) + 64) * np.sum(pull, 0), []
+        assert abs(got[i] / total - 1) < 0.01
 
 
 def test_language_equals_brute_force(spark):
