@@ -176,3 +176,19 @@ def test_trash_and_merge(spark, tmp_path):
         (root / f"m {k}" / "1.jpg").write_bytes(bytes([k]))
     assert actions.apply_merge([str(root / "m 2"), str(root / "m 1")], [2, 1], str(root / "m"), str(trash), str(root))
     assert sorted(p.name for p in (root / "m").iterdir()) == ["e01_1.jpg", "e02_1.jpg"] and not (root / "m 1").exists()
+
+
+def test_numbered_is_a_global_order(spark):
+    from folioforge.operators.ordering import numbered
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randrange(1000)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, k string, v long").repartition(4)
+    want, total = {}, 0
+    for n, (i, _, v) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[2], r[0])), 1):
+        total += v
+        want[i] = (n, total)
+    for one in (True, False):
+        got = numbered(df, [F.col("k").isNull(), F.col("k"), F.col("v"), F.col("i")], "place", {"v": "upto"}, one_task=one)
+        assert {r.i: (r.place, r.upto) for r in got.collect()} == want
+    assert numbered(df.limit(0), [F.col("v")], "place").count() == 0
