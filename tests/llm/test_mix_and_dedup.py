@@ -1,11 +1,15 @@
 import collections
 import hashlib
+import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from folioforge.llm.lsm_dedup import DigestIndex, distinct_rows, exact_dedup
-from folioforge.llm.pareto_mix import mix_rows, pareto_mix, source_targets, word_count
+from folioforge.llm import pareto_mix
+from folioforge.llm.pareto_mix import mix, mix_rows, sized, source_targets, word_count
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -47,29 +51,84 @@ def test_index_grows_by_runs(spark):
 
 def test_targets(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 500), ("d", 0)], "source string, source_size long")
-    got = {r.source: r.target for r in source_targets(sizes).collect()}
-    # Weights: a 3, b 1, c 2, d 3, null 1; a, c and d reach twice their size, the others share the rest.
-    assert got == {"a": 200.0, "c": 20.0, "d": 0.0, None: 1000.0, "b": 1.5 * 1610 - 1220}
-    assert source_targets(sizes.limit(0)).count() == 0
+    for few in (True, False):
+        got = {r.source: r.target for r in source_targets(sizes, few=few).collect()}
+        # Weights: a 3, b 1, c 2, d 3, null 1; a, c and d reach twice their size, the others share the rest.
+        assert got == {"a": 200.0, "c": 20.0, "d": 0.0, None: 1000.0, "b": 1.5 * 1610 - 1220}
+        assert source_targets(sizes.limit(0), few=few).count() == 0
 
 
-def test_mix_meets_targets_and_repeats(spark):
+def mix_corpus():
     rng = random.Random(8)
-    rows = [(i, rng.choice(["hot", "hot", "x", "y", None]), "w " * rng.choice([0, 5, 50, 200])) for i in range(3000)] + [(7, "x", None)]
-    docs = spark.createDataFrame([(i, s, t, 1.0) for i, s, t in rows], "doc_id long, source string, text string, target double")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = pareto_mix(sized).collect()
-    again = pareto_mix(sized.repartition(7)).collect()
-    key = lambda r: (r.doc_id, r.size, r.taken)
-    assert sorted(map(key, mixed)) == sorted(map(key, again)) and len(mixed) == len(rows)
-    by = collections.defaultdict(lambda: [0, 0.0])
-    for r in mixed:
-        by[r.source][0] += r.taken
-        by[r.source][1] = r.target
-        assert r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
-    for taken, target in by.values():
-        assert abs(taken - target) <= 100  # half of the largest document
-    whole = mix_rows(docs.where("doc_id <> 7"))
+    rows = [(rng.choice([i, i, 7, None]) if i % 5 == 0 else i, rng.choice(["hot", "hot", "hot", "x", "y", None]), f"a{i} " * rng.choice([0, 5, 50, 50, 200])) for i in range(2000)]
+    return rows + [(7, "x", None)] + [(9, "y", "same words here")] * 300 + [(None, "z", "w w w")] * 50
+
+
+def brute_mix(rows):
+    """(doc_id, text, source, copies) by plain loops."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    by = collections.defaultdict(list)
+    for i, s, t in rows:
+        by[s].append((i, t, len((t or "").split())))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r[2] for r in by[s]) for s in names}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    open_, capped = set(names), set()
+    while True:
+        level = (1.5 * sum(size.values()) - sum(2 * size[s] for s in capped)) / max(1, sum(weight[s] for s in open_))
+        over = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        if not over:
+            break
+        open_, capped = open_ - over, capped | over
+    target = {s: 2.0 * size[s] if s in capped else level * weight[s] for s in names}
+    out = []
+    for s in names:
+        certain = math.floor(target[s] / size[s]) if size[s] else 0
+        rest = (target[s] / size[s] - certain) * size[s] if size[s] else 0
+        left, k = sorted((r[2] for r in by[s] if r[2]), reverse=True), None
+        need = rest
+        while left and need > 0:
+            k = need / sum(x * x for x in left)
+            if k * left[0] <= 1:
+                break
+            big = left[0]
+            need -= big * sum(x == big for x in left)
+            left = [x for x in left if x != big]
+        ranked = []
+        for i, t, n in by[s]:
+            if not n or not k or rest <= 0:
+                out.append((i, t, s, certain))
+                continue
+            u = (int(md5(f"{'null' if i is None else i}:{md5(t or '')}:{pareto_mix.SEED}")[:13], 16) + 0.5) / 2**52
+            p = k * n
+            ranked.append((0.0 if p >= 1 else (u / (1 - u)) / (p / (1 - p)), (1 << 63) - 1 if i is None else i, n, md5(t or ""), i, t))
+        before = 0
+        for q in sorted(ranked, key=lambda q: q[:4]):
+            out.append((q[4], q[5], s, certain + int(before < rest and 2 * (rest - before) >= q[2])))
+            before += q[2]
+    return sorted(out, key=repr), target
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_mix_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(pareto_mix, "FEW", few)
+    rows = mix_corpus()
+    docs = spark.createDataFrame([(i, s, t, 1.0) for i, s, t in rows], "doc_id long, source string, text string, target double").repartition(6)
+    want, target = brute_mix(rows)
+    with_size = sized(docs.withColumnRenamed("target", "other"))
+    got = mix(with_size)
+    assert sorted(((r.doc_id, r.text, r.source, r.copies) for r in got.collect()), key=repr) == want
+    assert all(abs(r.target - target[r.source]) < 1e-6 and r.taken == r.copies * r.size <= 2 * r.size for r in got.collect())
+    whole = mix_rows(docs)
     assert whole.columns == docs.columns
-    assert whole.select(F.sum(word_count(F.col("text")))).first()[0] > 0
-    assert pareto_mix(sized.limit(0)).count() == 0
+    found = collections.Counter((r.doc_id, r.text, r.source) for r in whole.collect())
+    expected = collections.Counter()
+    for i, t, s, n in want:
+        expected[i, t, s] += n
+    assert found == +expected
+    taken = {r.source: r.w for r in got.groupBy("source").agg(F.sum("taken").alias("w")).collect()}
+    assert all(abs(taken[s] - target[s]) <= 100 for s in target)  # half of the largest document
+    # Longer documents are likelier to be taken once more.
+    once = got.where("source = 'hot' and size > 0").groupBy("size").agg(F.avg(F.col("copies")).alias("c")).orderBy("size").collect()
+    assert [r.c for r in once] == sorted(r.c for r in once) and once[0].c < once[-1].c
+    assert mix(with_size.limit(0)).count() == mix_rows(docs.limit(0)).count() == 0
