@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.llm.lsm_dedup import DigestIndex, distinct_rows, exact_dedup
-from folioforge.llm import pareto_mix
+from folioforge.llm import lsm_dedup, pareto_mix
 from folioforge.llm.pareto_mix import mix, mix_rows, sized, source_targets, word_count
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -41,12 +41,50 @@ def test_exact_dedup_matches_brute_force(spark):
 
 def test_index_grows_by_runs(spark):
     index = DigestIndex(spark, keep="min")
-    first = spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string")
-    index.flush(first)
-    assert index.hits().count() == 0
+    index.flush(spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string").repartition(2))
+    assert len(index.runs) == lsm_dedup.MEMTABLES and index.hits().count() == 0
+    assert len(index.runs) == 1
     index.flush(spark.createDataFrame([(3, "A"), (9, "c")], "doc_id long, text string"))
-    assert len(index.runs) == 2
+    assert len(index.runs) == lsm_dedup.MEMTABLES + 1
     assert [(r.keep_id, r.n) for r in index.hits().collect()] == [(3, 2)]
+    assert {(r.keep_id, r.n) for r in index.compact().collect()} == {(3, 2), (6, 1), (9, 1)}
+
+
+def test_runs_are_sorted_and_merged_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(lsm_dedup, "FAN_IN", 2)
+    rng = random.Random(1)
+    rows = [(i, f"text {rng.randrange(300)}") for i in range(1000)]
+    index = DigestIndex(spark, keep="max")
+    index.flush(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    merged = index.compact()
+    assert len(index.levels) == 4  # 8 runs, then 4, 2 and 1
+    for part in merged.rdd.glom().collect():
+        assert [bytes(r.digest) for r in part] == sorted(bytes(r.digest) for r in part)
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        want[hashlib.sha256(t.encode()).digest()].append(i)
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in merged.collect()} == {d: (max(x), len(x)) for d, x in want.items()}
+
+
+@pytest.mark.parametrize("bits", [30, 15])
+def test_filter_has_no_false_negatives(spark, monkeypatch, bits):
+    monkeypatch.setattr(lsm_dedup, "MOST_BITS", bits)
+    keys = spark.range(20_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    inside = keys.where("id < 10000")
+    probed = lsm_dedup.BloomFilter(inside, 10_000).probe(keys, F.col("digest"))
+    assert probed.where("id < 10000 and not _maybe").count() == 0
+    false = probed.where("id >= 10000 and _maybe").count()
+    assert false < 200 if bits == 30 else false > 0
+
+
+def test_texts_of_one_digest_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lsm_dedup.F, "sha2", lambda c, n, sha2=F.sha2: F.rpad(F.substring(sha2(c, n), 1, 1), n // 4, "0") if n == 256 else sha2(c, n))
+    rows = [(i, f"text {i % 40}") for i in range(90)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "keep_id", "group_size", "kept").collect()
+    want = brute_dedup(rows)
+    assert sorted(tuple(r) for r in got) == sorted(w[:4] for w in want)
+    kept = distinct_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in kept.collect()} == {w[0] for w in want if w[3]}
 
 
 def test_targets(spark):
