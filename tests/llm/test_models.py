@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import random
 import re
@@ -149,8 +150,15 @@ def test_context_mixing_learns_from_all_documents(spark, monkeypatch):
     one.add(coder.streams(cm.Words(buffer, offsets))[1])
     for cells, counts in zip([*mixers[0].cells[0][1:], *mixers[0].cells[1]], [*one.tables[0][1:], *one.tables[1]], strict=True):
         assert np.array_equal(cells, cm._cells(counts[::2], counts[1::2]))
-    count = collections.Counter(b for t in texts for w in t.split() for b in (w + " ").encode())
-    assert np.array_equal(coder.letters.length, cm.huffman_lengths(np.array([count[b] + 1 for b in range(256)])))
+    assert np.array_equal(coder.letters.length, cm.ConditionalCode(letter_pairs(w for t in texts for w in t.split())).length)
+
+
+def letter_pairs(words):
+    pairs = np.zeros(256 * 256, np.int64)
+    for w in words:
+        for a, b in itertools.pairwise(b" " + w.encode() + b" "):
+            pairs[a * 256 + b] += 1
+    return pairs
 
 
 def test_score_equals_bit_by_bit():
@@ -162,7 +170,7 @@ def test_score_equals_bit_by_bit():
     hashes, counts = np.unique(words.hash, return_counts=True)
     name = dict(zip([w for ws in words_of for w in ws], words.hash.tolist(), strict=True))
     keep = counts >= 2
-    coder = cm.Coder(hashes[keep], counts[keep], int(counts[~keep].sum()), len(texts), np.bincount(np.frombuffer(" ".join(texts).lower().encode(), np.uint8), minlength=256), 16)
+    coder = cm.Coder(hashes[keep], counts[keep], int(counts[~keep].sum()), len(texts), letter_pairs(w for ws in words_of for w in ws), 16)
     counter = cm.Counter(coder)
     streams = coder.streams(words)[1]
     counter.add(streams)
@@ -177,7 +185,7 @@ def test_score_equals_bit_by_bit():
 
     for i, ws in enumerate(words_of):
         bits = [b for w in ws for b in code_bits(coder.code, symbol.get(name[w], escape))] + code_bits(coder.code, len(symbol))
-        spelled = [b for w in ws if name[w] not in symbol for c in (w + " ").encode() for b in code_bits(coder.letters, c)]
+        spelled = [b for w in ws if name[w] not in symbol for a, c in itertools.pairwise(b" " + w.encode() + b" ") for b in code_bits(coder.letters.parts[a], c)]
         total = 0.0
         for kind, outcomes in enumerate((bits, spelled)):
             at = int(streams[kind][0][:i].sum())
