@@ -1,32 +1,42 @@
 """Join of documents whose word 5-gram sets have a Jaccard similarity of 0.8 or more, by an LSH forest.
 
-1. Each document gets TREES x MAX_DEPTH MinHash values: a leaf in each of TREES prefix tries
-   (Bawa, Condie, Ganesan: LSH Forest, WWW 2005). Documents of equal word sequences share a node.
-2. Matching starts at full depth; the prefix is shortened until the chance to find a pair at the
-   threshold reaches `recall`: 1 - (1 - t**depth)**TREES. Nodes that share such a prefix in some
-   tree meet (rows sorted by prefix are the trie's order). Only pairs whose sketches agree in at
-   least SKETCH_AGREE places go on; a pair at the threshold fails that with probability 1e-12.
+Documents of equal word sequences (128 bits of BLAKE2 say so) share a node.
+
+1. Each node gets TREES labels of MAX_DEPTH MinHash values of 16 bits: a leaf in each of TREES prefix
+   tries (Bawa, Condie, Ganesan: LSH Forest, WWW 2005).
+2. The leaves of a tree are sorted by label, which is the trie's order: a trie node of depth d is a
+   run of rows that share d values. Matching starts at full depth, and prefixes are shortened step by
+   step. Each node stops where its own target recall is reached: the depth d with
+   1 - (1 - s**d)**TREES >= recall, s being the least similarity that a link of a set of its size can
+   have. The shortest such prefix deals subtrees to tasks; in a task the ascent is made run by run
+   (`ascend`). Only pairs whose sketches agree in at least SKETCH_AGREE places are joined; a pair at
+   the threshold fails that with probability 1e-12. What is joined already is not compared again.
 3. Groups of nodes that met become components; within these *all* pairs are verified exactly on
    their shingle sets, so a pair that no tree found is found as long as its ends are connected.
-   Large buckets and components are cut into blocks, and every pair of blocks is a task's work.
+   Large subtrees and components are cut into blocks, and every pair of blocks is a task's work. Of a
+   large subtree, rows whose sketch agrees with that of one pivot are joined to it before, and of
+   these only the ones that the triangle inequality allows near another row go on.
 4. Verified links give each document its class and its number of links. Pairs never become rows:
    a task sends one row a node with its count of links and its local root.
 
 Copies count as links of each other by multiplicity without being expanded.
 
 Defined cases: texts of fewer than five words are one shingle; texts without words and nulls link
-to nothing (class of their own); class_id is the least doc_id of the class (null if it has none);
-rows that repeat count as documents each; an empty table gives no rows.
+to nothing (class of their own); very long texts are read whole; class_id is the least doc_id of the
+class (null if it has none); rows that repeat count as documents each; other columns, whatever their
+names, are not read, or pass through `one_of_each`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from .common import checkpoint_dir, stored, table
@@ -40,10 +50,12 @@ MAX_DEPTH = 8
 RECALL = 0.99999
 SKETCH_AGREE = 48
 SKETCH = 96
-#: Members of a bucket, and shingles and nodes of a component, that one task compares with another such block.
+#: Members of a subtree, and shingles and nodes of a component, that one task compares with another such block.
 BUCKET_BLOCK = 2048
 SET_BLOCK = 1 << 20
-NODE_BLOCK = 1024
+NODE_BLOCK = 256
+#: Sets of more shingles count as if any similarity from the threshold on were possible.
+SIZES = 2048
 
 
 def forest_depth(threshold: float, trees: int = TREES, most: int = MAX_DEPTH, recall: float = RECALL) -> int:
@@ -54,6 +66,30 @@ def forest_depth(threshold: float, trees: int = TREES, most: int = MAX_DEPTH, re
     return depth
 
 
+def needed_depths(threshold: float, recall: float = RECALL) -> np.ndarray:
+    """For sets of 0 to SIZES shingles the prefix length at which a node's links are found with the recall."""
+    out = np.full(SIZES + 1, forest_depth(threshold, recall=recall))
+    p = round(threshold * 1000)
+    for n in range(1, SIZES):
+        common = n - np.arange(n - -(-p * n // 1000) + 1)  # shared with the other set
+        union = np.maximum(common * 1000 // p, n)  # the largest that is still similar enough
+        out[n] = forest_depth(float((common / union).min()), recall=recall)
+    return out
+
+
+def word_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2 of each document's words, joined by one space."""
+    size = words.end - words.start + 1
+    at = np.repeat(words.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    joined = words.buffer[np.minimum(at, max(len(words.buffer) - 1, 0))] if len(at) else np.zeros(0, np.uint8)
+    joined[np.cumsum(size) - 1] = 0x20
+    ends = np.concatenate([[0], np.cumsum(size)])[words.first]
+    raw = memoryview(joined)
+    digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+    both = np.frombuffer(digest, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all documents and the offsets of each document's."""
     count = words.counts
@@ -79,7 +115,6 @@ def sequence_hash(words: Words) -> np.ndarray:
 
 
 _SALT = mix64(np.arange(1, TREES * MAX_DEPTH + 1, dtype=np.uint64))
-_TREE_SALT = mix64(np.arange(1000, 1000 + TREES, dtype=np.uint64))
 
 
 def signatures(shingles: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
@@ -92,63 +127,131 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarr
     return out
 
 
-def _sign(depth: int):
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        words = Words(*text_buffer(batch.column("text")))
+        full = np.flatnonzero(words.counts > 0)
+        shingles, bounds = _shingles(words)
+        labels, sketch = [None] * batch.num_rows, [None] * batch.num_rows
+        if len(full):
+            values = signatures(shingles, np.unique(bounds), TREES * MAX_DEPTH) * np.uint32(0x9E3779B1)
+            label = (values >> np.uint32(16)).astype(">u2")
+            byte = (values[:, :SKETCH] >> np.uint32(24)).astype(np.uint8)
+            for k, i in enumerate(full.tolist()):
+                labels[i], sketch[i] = label[k].tobytes(), byte[k].tobytes()
+        one, two = word_keys(words)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(one), pa.array(two), pa.array(words.counts), pa.array(np.diff(bounds)), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary())],
+            names=["doc_id", "h1", "h2", "n_words", "n_shingles", "labels", "sketch"],
+        )
+
+
+def shared_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of labels, row by row."""
+    return np.cumprod(a == b, axis=1).sum(1)
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).sum(-1) >= SKETCH_AGREE
+
+
+def ascend(labels: np.ndarray, need: np.ndarray, sketch: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the rows of a subtree, which come in the order of their labels.
+
+    From full depth up, the rows of each trie node that still look for partners at that depth are
+    compared if deeper nodes have not joined them: with the first of them, then among all.
+    """
+    n = len(labels)
+    beside = shared_values(labels[:-1], labels[1:])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    root = np.arange(n)
+    for depth in range(labels.shape[1], shortest - 1, -1):
+        cut = np.concatenate([[0], np.flatnonzero(beside < depth) + 1, [n]])
+        for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            rows = low + np.flatnonzero(need[low:high] <= depth)
+            if len(rows) < 2 or (root[rows] == root[rows[0]]).all():
+                continue
+            same = rows[_agree(sketch[rows], sketch[rows[0]])]
+            left.append(np.full(len(same), rows[0]))
+            right.append(same)
+            root = roots(n, np.concatenate(left), np.concatenate(right))
+            for at in range(0, len(rows), 64):
+                some, rest = rows[at : at + 64], rows[at:]
+                rest = rest[~np.isin(root[rest], root[some])] if (root[some] == root[some[0]]).all() else rest
+                if not len(rest):
+                    continue
+                a, b = np.nonzero(_agree(sketch[some][:, None, :], sketch[rest][None, :, :]))
+                pairs = np.unique(np.stack([root[some[a]], root[rest[b]]], 1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                if len(pairs):
+                    left.append(pairs[:, 0])
+                    right.append(pairs[:, 1])
+                    root = roots(n, np.concatenate(left), np.concatenate(right))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _meet(shortest: int):
+    """Edges that join the nodes of each subtree."""
+    keys = ["tree", "bucket", "i", "j"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            words = Words(*text_buffer(batch.column("text")))
-            full = np.flatnonzero(words.counts > 0)
-            shingles, bounds = _shingles(words)
-            n = batch.num_rows
-            prefix, sketch = [None] * n, [None] * n
-            if len(full):
-                sig = signatures(shingles, np.unique(bounds), max(TREES * depth, SKETCH))
-                byte = ((sig[:, :SKETCH] * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-                keys = np.empty((len(full), TREES), np.uint64)
-                for t in range(TREES):
-                    h = np.full(len(full), _TREE_SALT[t])
-                    for level in range(t * depth, (t + 1) * depth):
-                        h = mix64(h ^ sig[:, level].astype(np.uint64))
-                    keys[:, t] = h
-                for k, i in enumerate(full.tolist()):
-                    prefix[i], sketch[i] = signed(keys[k]), byte[k].tobytes()
-            node = signed(sequence_hash(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(node), pa.array(words.counts), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["doc_id", "node", "n_words", "prefix", "sketch"],
-            )
+        for group in whole_groups(batches, keys):
+            at = starts(group, keys)
+            node, need = group.column("node").to_numpy(), group.column("need").to_numpy()
+            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), SKETCH)
+            labels = np.frombuffer(b"".join(group.column("label").to_pylist()), ">u2").reshape(len(node), MAX_DEPTH)
+            size = np.diff(at)
+            found = []
+            few = size <= 64
+            # Small subtrees together: their pairs, where the common prefix is long enough for both.
+            for rows in np.array_split(np.flatnonzero(few & (size > 1)), max(1, int(size[few].sum()) // 2000)):
+                if len(rows):
+                    picked = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows])
+                    a, b = pairs_within(size[rows], np.cumsum(size[rows]) - size[rows])
+                    a, b = picked[a], picked[b]
+                    same = (shared_values(labels[a], labels[b]) >= np.maximum(need[a], need[b])) & _agree(sketch[a], sketch[b])
+                    found.append((a[same], b[same]))
+            for r in np.flatnonzero(~few).tolist():
+                low, high = at[r], at[r + 1]
+                order = low + np.lexsort(labels[low:high].T[::-1])
+                a, b = ascend(labels[order], need[order], sketch[order], shortest)
+                found.append((order[a], order[b]))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                ids, code = np.unique(node, return_inverse=True)
+                root = roots(len(ids), code[a], code[b])
+                moved = np.flatnonzero(root != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["src", "dst"])
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect the nodes of each bucket whose sketches agree."""
-    keys = ["bucket", "i", "j"]
-    for group in whole_groups(batches, keys):
-        at = starts(group, keys)
-        node = group.column("node").to_numpy()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), SKETCH)
-        size = np.diff(at)
-        found = []
-        few = size <= 64
-        for rows in np.array_split(np.flatnonzero(few & (size > 1)), max(1, int(size[few].sum()) // 2000)):
-            if len(rows):
-                picked = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows])
-                a, b = pairs_within(size[rows], np.cumsum(size[rows]) - size[rows])
-                a, b = picked[a], picked[b]
-                same = (sketch[a] == sketch[b]).sum(1) >= SKETCH_AGREE
-                found.append((a[same], b[same]))
-        for r in np.flatnonzero(~few):
-            block = sketch[at[r] : at[r + 1]]
-            for low in range(0, len(block), 64):
-                same = (block[low : low + 64, None, :] == block[None, low:, :]).sum(2) >= SKETCH_AGREE
-                a, b = np.nonzero(same)
-                found.append((at[r] + low + a[a != b], at[r] + low + b[a != b]))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            ids, code = np.unique(node, return_inverse=True)
-            root = roots(len(ids), code[a], code[b])
-            moved = np.flatnonzero(root != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["src", "dst"])
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add how many places of a row's sketch differ from its pivot's."""
+    for batch in batches:
+        if batch.num_rows:
+            own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "pivot_sketch"))
+            rest = [c for c in batch.schema.names if c != "pivot_sketch"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array((own != pivot).sum(1).astype(np.int32))], names=[*rest, "distance"])
+
+
+def _pivoted(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of large subtrees: edges to one pivot each, and the rows that may meet others than it.
+
+    Sketches differ in a metric: a row at distance x of the pivot and one at distance y differ in y - x
+    places at least. So of the rows joined to the pivot only those with x >= y - (SKETCH - SKETCH_AGREE)
+    for the nearest row that is not joined need to be compared with such rows.
+    """
+    most = SKETCH - SKETCH_AGREE
+    pivots = large.groupBy("tree", "bucket").agg(F.min_by(F.struct(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "node").alias("p")).select("tree", "bucket", "p.*")
+    joined = large.join(pivots, ["tree", "bucket"])
+    schema = T.StructType([f for f in joined.schema.fields if f.name != "pivot_sketch"]).add("distance", T.IntegerType())
+    measured = stored(joined.mapInArrow(_distances, schema), "forest-pivots")
+    edges = measured.where((F.col("distance") <= most) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
+    far = measured.where(F.col("distance") > most).groupBy("tree", "bucket").agg(F.min("distance").alias("nearest"))
+    rest = measured.join(far, ["tree", "bucket"]).where(F.col("distance") >= F.col("nearest") - most).drop("n", "pivot", "distance", "nearest")
+    sizes = rest.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return edges, rest.join(sizes, ["tree", "bucket"])
 
 
 def _sets(flags: np.ndarray, bits: int):
@@ -157,13 +260,13 @@ def _sets(flags: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = Words(*text_buffer(batch.column("text")))
-            node = sequence_hash(words)
-            wanted = np.flatnonzero(flags[(node >> shift).astype(np.int64)] & (words.counts > 0))
-            _, first = np.unique(node[wanted], return_index=True)
+            one, two = word_keys(words)
+            wanted = np.flatnonzero(flags[(one.view(np.uint64) >> shift).astype(np.int64)] & (words.counts > 0))
+            _, first = np.unique(np.stack([one[wanted], two[wanted]], 1), axis=0, return_index=True)
             wanted = wanted[first]
             shingles, bounds = _shingles(words)
             sets = [np.unique(shingles[bounds[i] : bounds[i + 1]]).tobytes() for i in wanted.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(node[wanted])), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(one[wanted]), pa.array(two[wanted]), pa.array(sets, pa.binary())], names=["h1", "h2", "shingles"])
 
     return run
 
@@ -233,59 +336,120 @@ def _in_blocks(df: DataFrame, key: str, blocks: str) -> DataFrame:
     return df.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links, node."""
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _forest_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Edges between nodes that met in some tree."""
+    shortest = forest_depth(threshold, recall=recall)
+    need = F.element_at(F.array(*[F.lit(int(d)) for d in needed_depths(threshold, recall)]), (F.least("n_shingles", F.lit(SIZES)) + 1).cast("int"))
+    label = F.substring(F.col("labels"), F.col("tree") * 2 * MAX_DEPTH + 1, F.lit(2 * MAX_DEPTH))
+    leaves = nodes.select("node", "labels", need.alias("need"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    leaves = leaves.select("node", "need", "tree", label.alias("label")).withColumn("bucket", F.substring("label", 1, 2 * shortest))
+    shared = leaves.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = leaves.join(shared, ["tree", "bucket"]).join(nodes.select("node", "sketch"), "node")
+    edges = None
+    if shared.where(F.col("n") > BUCKET_BLOCK).limit(1).count():
+        edges, rest = _pivoted(members.where(F.col("n") > BUCKET_BLOCK))
+        members = members.where(F.col("n") <= BUCKET_BLOCK).unionByName(rest)
+    members = members.withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK))
+    dealt = by_key(_in_blocks(members, "bucket", "blocks").select("tree", "bucket", "i", "j", "label", "node", "need", "sketch"), "tree", "bucket", "i", "j", then=("label", "node"))
+    met = dealt.mapInArrow(_meet(shortest), "src long, dst long")
+    return (met if edges is None else met.unionByName(edges)).distinct()
+
+
+def classified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, h1, h2 (its words' key), class_id, class_size, n_links, and whether it represents its class.
+
+    The representative is a document of the class's least doc_id; there, of the least key.
+    """
     checkpoint_dir(docs.sparkSession)
-    depth = forest_depth(threshold, recall=recall)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed_docs = stored(rows.mapInArrow(_sign(depth), "doc_id long, node long, n_words long, prefix array<long>, sketch binary"), "forest")
-    with_words = signed_docs.where("n_words > 0")
-    nodes = stored(with_words.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "forest-nodes")
-
-    leaves = nodes.select("node", F.explode("prefix").alias("bucket"))
-    shared = leaves.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = leaves.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK))
-    members = members.join(nodes.select("node", "sketch"), "node")
-    met = by_key(_in_blocks(members, "bucket", "blocks").select("bucket", "i", "j", "node", "sketch"), "bucket", "i", "j")
-    edges = stored(met.mapInArrow(_meet, "src long, dst long").distinct(), "forest-edges")
-    groups = stored(connected_components(edges).join(nodes.select("node", "copies", "n_words"), "node"), "forest-groups")
-
-    flags = prefix_filter(groups, "node")
-    sets = rows.mapInArrow(_sets(flags, 20), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    rows = _slim(docs)
+    schema = "doc_id long, h1 long, h2 long, n_words long, n_shingles long, labels binary, sketch binary"
+    signed_docs = stored(rows.mapInArrow(_sign, schema), "forest")
+    first = [F.first(c).alias(c) for c in ("n_words", "n_shingles", "labels", "sketch")]
+    nodes = signed_docs.where("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *first)
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "forest-nodes")
+
+    edges = stored(_forest_edges(nodes, threshold, recall), "forest-edges")
+    groups = stored(connected_components(edges).join(nodes.select("node", "h1", "h2", "copies", "n_words"), "node"), "forest-groups")
+
+    sets = rows.mapInArrow(_sets(prefix_filter(groups, "h1"), 20), "h1 long, h2 long, shingles binary").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
     load = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_words") / SET_BLOCK), F.ceil(F.count(F.lit(1)) / NODE_BLOCK)).alias("blocks"))
-    placed = _in_blocks(groups.join(load, "component"), "component", "blocks")
-    placed = placed.join(sets, "node").select("component", "i", "j", "block", "node", "copies", "shingles", "blocks")
-    checked = by_key(placed.drop("blocks"), "component", "i", "j", then=("node",))
+    placed = groups.join(load, "component").join(sets, ["h1", "h2"])
+    placed = _in_blocks(placed, "component", "blocks").select("component", "i", "j", "block", "node", "copies", "shingles")
+    checked = by_key(placed, "component", "i", "j", then=("node",))
     links = stored(checked.mapInArrow(_verify(threshold), "node long, root long, links long"), "forest-links")
 
     classes = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = classes.join(counted, "node").join(nodes.select("node", "least", "copies"), "node")
-    whole = linked.groupBy("component").agg(F.min("least").alias("class_least"), F.sum("copies").alias("class_copies"))
-    linked = linked.join(whole, "component").select("node", "links", "class_least", "class_copies")
-    known = nodes.select("node", "least", "copies").join(linked, "node", "left")
+    known = nodes.select("node", "h1", "h2", "least", "copies")
+    linked = classes.join(counted, "node").join(known, "node")
+    by_least = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("h1").alias("h1"), F.col("h2").alias("h2"))
+    whole = linked.groupBy("component").agg(F.min(by_least).alias("rep"), F.sum("copies").alias("class_copies"))
+    linked = linked.join(whole, "component").select("node", "links", "rep", "class_copies")
+    known = known.join(linked, "node", "left")
+    alone = F.col("links").isNull()
     known = known.select(
-        "node",
-        F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("class_id"),
+        F.col("h1").alias("_h1"),
+        F.col("h2").alias("_h2"),
+        F.when(alone, F.col("least")).otherwise(F.col("rep.least")).alias("class_id"),
         F.coalesce("class_copies", "copies").cast("long").alias("class_size"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        (alone | ((F.col("h1") == F.col("rep.h1")) & (F.col("h2") == F.col("rep.h2")))).alias("in_rep"),
     )
     known = known.where("class_size > 1")  # all others are alone
-    out = signed_docs.select("doc_id", F.when(F.col("n_words") > 0, F.col("node")).alias("node")).join(known, "node", "left")
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_words") > 0)
+    out = signed_docs.select("doc_id", "h1", "h2", "n_words").join(known, same, "left")
     alone = F.col("class_size").isNull()
     return out.select(
         "doc_id",
+        "h1",
+        "h2",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (alone | (F.col("in_rep") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("represents"),
     )
 
 
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, class_size, n_links."""
+    return classified(docs, threshold, recall).select("doc_id", "class_id", "class_size", "n_links")
+
+
+def _keyed(flags: np.ndarray, bits: int, maybe: bool):
+    """Rows whose words may be (or are not) among those that set the flags, with the words' key."""
+    shift = np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_text"):
+            one, two = word_keys(Words(*text_buffer(batch.column("_text"))))
+            wanted = pa.array(np.flatnonzero(flags[(one.view(np.uint64) >> shift).astype(np.int64)] == maybe))
+            rows = pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(one), pa.array(two)], names=["_row", "_id", "_h1", "_h2"])
+            if len(wanted):
+                yield rows.take(wanted)
+
+    return run
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The input rows of the documents that represent their class, in all columns."""
-    classes = near_duplicates(docs)
-    gone = stored(classes.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct(), "forest-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The input rows of the documents that represent their class, in all columns, one for each class.
+
+    Rows are told apart by doc_id and words, so null and repeated ids lose nothing but near copies.
+    Only rows whose words may be in a class of several are shuffled.
+    """
+    several = stored(classified(docs).where("class_size > 1").groupBy("doc_id", "h1", "h2").agg(F.max("represents").alias("represents")), "forest-classes")
+    flags = prefix_filter(several, "h1")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("_id", T.LongType()), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
+    clear, maybe = (rows.mapInArrow(_keyed(flags, 20, side), schema) for side in (False, True))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2"))
+    met = maybe.join(several, same, "left")
+    single = met.where("represents is null").select("_row")
+    kept = met.where("represents").groupBy("_id", "_h1", "_h2").agg(F.first("_row").alias("_row")).select("_row")
+    return clear.select("_row").unionByName(single).unionByName(kept).select("_row.*")
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

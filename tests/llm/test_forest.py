@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from folioforge.llm import lsh_forest
@@ -58,6 +60,7 @@ def test_matches_brute_force(spark, monkeypatch, blocks):
     if blocks:
         monkeypatch.setattr(lsh_forest, "BUCKET_BLOCK", 2)
         monkeypatch.setattr(lsh_forest, "SET_BLOCK", 300)
+        monkeypatch.setattr(lsh_forest, "NODE_BLOCK", 2)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, node double").repartition(3)
     got = sorted(tuple(r) for r in near_duplicates(docs).select("doc_id", "class_id", "class_size", "n_links").collect())
@@ -74,3 +77,83 @@ def test_empty_and_null_ids(spark):
 def test_depth_meets_recall():
     d = forest_depth(0.8)
     assert 1 - (1 - 0.8**d) ** lsh_forest.TREES >= lsh_forest.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** lsh_forest.TREES
+    need = lsh_forest.needed_depths(0.8)
+    for n in (1, 2, 3, 4, 5, 6, 7, 50):
+        similar = [i / (n + m - i) for m in range(1, 2 * n + 2) for i in range(1, min(n, m) + 1) if 1000 * i >= 800 * (n + m - i)]
+        assert need[n] == forest_depth(min(similar))
+    assert need[3] == lsh_forest.MAX_DEPTH and need[-1] == d and need.min() == d
+
+
+def naive_components(n, edges):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ascent_joins_what_shares_long_enough_prefixes(seed):
+    rng = np.random.default_rng(seed)
+    n, shortest = 150, 2
+    labels = rng.integers(0, 2, (n, 6)).astype(">u2")
+    labels[:, :2] = 7  # one subtree of the shortest prefix
+    labels = labels[np.lexsort(labels.T[::-1])]
+    need = rng.integers(shortest, 7, n)
+    base = rng.integers(0, 256, (12, lsh_forest.SKETCH))
+    sketch = np.where(rng.random((n, lsh_forest.SKETCH)) < 0.3, rng.integers(0, 256, (n, lsh_forest.SKETCH)), base[rng.integers(0, 12, n)]).astype(np.uint8)
+    a, b = lsh_forest.ascend(labels, need, sketch, shortest)
+    want = []
+    for i in range(n):
+        for j in range(i):
+            shared = next((k for k in range(6) if labels[i, k] != labels[j, k]), 6)
+            if shared >= max(need[i], need[j]) and (sketch[i] == sketch[j]).sum() >= lsh_forest.SKETCH_AGREE:
+                want.append((i, j))
+    got = naive_components(n, list(zip(a.tolist(), b.tolist(), strict=True)))
+    assert len(want) > 20
+    full = naive_components(n, want)
+    # All wanted pairs are joined; what else is joined has agreeing sketches (a chain of wanted pairs or of first rows).
+    assert all(got[i] == got[j] for i, j in want)
+    assert all((sketch[i] == sketch[j]).sum() >= lsh_forest.SKETCH_AGREE or full[i] == full[j] or got[i] == got[j] for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_words_decide_a_node():
+    texts = ["a b  c", " a\tb c ", "a b", "ab c", "", None, "a b c d"]
+    words = lsh_forest.Words(*lsh_forest.text_buffer(lsh_forest.pa.array(texts)))
+    one, two = lsh_forest.word_keys(words)
+    want = [hashlib.blake2b((" ".join((t or "").split()) + " ").encode() if (t or "").split() else b"", digest_size=16).digest() for t in texts]
+    assert [np.array([x, y], np.int64).tobytes() for x, y in zip(one.tolist(), two.tolist(), strict=True)] == want
+
+
+def test_measured_recall(spark):
+    """Pairs a little above the threshold: how many of the links brute force finds are found."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(250):
+        base = [f"w{rng.randrange(5000)}" for _ in range(104)]
+        other = list(base)
+        for at in rng.sample(range(0, 100, 6), 2):  # each edit breaks five of 100 shingles
+            other[at] = "edit"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    want = brute(rows)
+    got = {r.doc_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = sum(r[3] for r in want)
+    assert links >= 400 and sum(got.values()) / links >= 0.99
+
+
+@pytest.mark.parametrize("pivots", [False, True])
+def test_one_of_each_keeps_what_is_no_copy(spark, monkeypatch, pivots):
+    if pivots:
+        monkeypatch.setattr(lsh_forest, "BUCKET_BLOCK", 3)
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    base = text(60)
+    copies = [base + f" tail{i}" for i in range(12)]
+    rows = [(None, c) for c in copies[:6]] + [(5, copies[6]), (5, "another text under the same id " + text(20)), (9, copies[7]), (9, copies[7])]
+    rows += [(None, t) for t in (text(30), text(30))] + [(20, "single one here"), (20, "single one here"), (21, ""), (22, None)]
+    docs = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id long, text string, node int, h1 string").repartition(3)
+    got = lsh_forest.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[6], rows[7], rows[10], rows[11], rows[12], rows[14], rows[15]]))
+    assert lsh_forest.one_of_each(docs.limit(0)).count() == 0
