@@ -98,8 +98,12 @@ def is_dropped_tag(tag: Column) -> Column:
 
 def tag_content(tag: Column) -> Column:
     """The tag's normal text; null if it should go."""
-    tag = strip(tag)
-    return F.when(tag == "", None).when(language_code(tag).isNotNull(), language_code(tag)).when(is_dropped_tag(tag), None).otherwise(fold(strip_tag_suffix(tag)))
+
+    def normal(tag: Column) -> Column:
+        other = F.when(~is_dropped_tag(tag), fold(strip_tag_suffix(tag)))
+        return F.when(tag != "", F.coalesce(language_code(tag), other))
+
+    return bound(strip(tag), normal)
 
 
 def _around_tags(x: Column, outside, inside) -> Column:
@@ -135,27 +139,34 @@ def title_text(x: Column) -> Column:
 def title_episode_aware(x: Column) -> Column:
     """Title case that leaves an episode's marker and number as they are (the marker in lower case)."""
     prefix = F.coalesce(*[F.when(x.rlike(p), F.regexp_extract(x, p, 1)) for p in EPISODE_PATTERNS], x)
-    rest = F.substring(x, F.length(prefix) + 1, F.length(x))
-    title = title_text(prefix)
-    for marker in reversed(EPISODE_MARKERS):
-        head = F.substring(prefix, F.lit(1), F.length(prefix) - len(marker))
-        title = F.when((prefix != x) & fold(prefix).endswith(marker), F.concat(title_text(head), F.lit(marker))).otherwise(title)
-    return F.concat(title, rest)
+
+    def cased(p: Column) -> Column:
+        low = fold(p)
+        marker = F.coalesce(*[F.when((p != x) & low.endswith(m), F.lit(m)) for m in EPISODE_MARKERS], F.lit(""))
+        head = bound(marker, lambda m: F.concat(title_text(F.substring(p, F.lit(1), F.length(p) - F.length(m))), m))
+        return F.concat(head, F.substring(x, F.length(p) + 1, F.length(x)))
+
+    return bound(prefix, cased)
 
 
 def title_outside_tags(x: Column) -> Column:
     def text(t: Column) -> Column:
-        cased = F.concat(F.regexp_extract(t, "^ *", 0), title_episode_aware(strip(t)), F.regexp_extract(t, " *$", 0))
+        cased = F.concat(F.regexp_extract(t, "^ *", 0), bound(strip(t), title_episode_aware), F.regexp_extract(t, " *$", 0))
         return F.when(t.rlike(r"(?U)^\s*$") | t.startswith("(") | t.startswith("["), t).otherwise(cased)
 
     return _around_tags(x, text, lambda g: g)
 
 
+def bound(x: Column, then) -> Column:
+    """then(x) with x computed once, however often `then` uses it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def standard_name(name: Column) -> Column:
     """A clean folder name: the whole chain, or the stripped name if nothing is left."""
     steps = [remove_invalid, remove_noise, bracket_characters, bracket_spacing, collapse_spaces, delimited_tags, title_outside_tags, collapse_spaces]
-    done = reduce(lambda x, f: f(x), steps, name)
-    return F.when(done == "", strip(name)).otherwise(done)
+    done = reduce(bound, steps, name)
+    return bound(done, lambda x: F.when(x == "", strip(name)).otherwise(x))
 
 
 def stem(name: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,8 +46,15 @@ def signature_hit(num_pages: int):
     return (F.col("perceptual_num_pages") == num_pages) & (F.size("perceptual_hashes") > 0)
 
 
-def upsert(index: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Insert new keys and patch known ones; a null in a change keeps the old value."""
+def upsert(index: DataFrame, changes: DataFrame, key: str, stamp: Column | None = None) -> DataFrame:
+    """Insert new keys and patch known ones; a null in a change keeps the old value.
+
+    Several changes of one key count as one: of each field the largest value that is not null. A
+    `stamp` is what updated_at becomes for the keys that changed (such as `current_timestamp()`).
+    """
+    changes = changes.groupBy(key).agg(*[F.max(c).alias(c) for c in changes.columns if c != key])
+    if stamp is not None:
+        changes = changes.withColumn("updated_at", stamp)
     old, new = index.alias("o"), changes.alias("n")
     columns = []
     for c in index.columns:
@@ -60,6 +67,27 @@ def upsert(index: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*columns)
 
 
+def cached_paths(index: DataFrame, key: str = "path") -> DataFrame:
+    """The works that the index knows, each once."""
+    return index.select(key).distinct()
+
+
+def ensure_metadata(works: DataFrame, index: DataFrame, found: DataFrame, key: str, fingerprint: str, force: bool = False) -> DataFrame:
+    """(key, quick_fingerprint, page_count, width, height, is_hit) of all works.
+
+    A work whose quick fingerprint is that of its record, and whose record has pages, keeps its
+    record. All others get what was `found` (key, page_count, width, height), and where that is
+    missing or without pages what the record had.
+    """
+    old = index.select(key, F.col("quick_fingerprint").alias("_fp"), *[F.col(c).alias(f"_old_{c}") for c in ("page_count", "width", "height")])
+    new = found.select(key, *[F.col(c).alias(f"_new_{c}") for c in ("page_count", "width", "height")])
+    hit = F.lit(not force) & F.coalesce((F.col("_fp") == F.col(fingerprint)) & (F.col("_old_page_count") > 0), F.lit(False))
+    rows = works.select(key, fingerprint).join(old, key, "left").join(new, key, "left").withColumn("is_hit", hit)
+    pages = F.coalesce(F.when(F.col("_new_page_count") > 0, F.col("_new_page_count")), F.col("_old_page_count"), F.lit(0))
+    side = lambda c: F.when(F.col("is_hit"), F.col(f"_old_{c}")).otherwise(F.coalesce(f"_new_{c}", f"_old_{c}")).alias(c)
+    return rows.select(key, F.col(fingerprint).alias("quick_fingerprint"), F.when(F.col("is_hit"), F.col("_old_page_count")).otherwise(pages).alias("page_count"), side("width"), side("height"), "is_hit")
+
+
 def remove(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return index.join(gone.select(key).distinct(), key, "left_anti")
 
@@ -71,6 +99,17 @@ def prune(index: DataFrame, discovered: DataFrame, key: str) -> tuple[DataFrame,
     return kept, counts.select((F.col("before") - F.col("after")).alias("removed"))
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file over another in one step, so that a reader sees the one or the other."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    where = path(target).getFileSystem(conf).makeQualified(path(target))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(path(source), path(target), options)
+
+
 class SnapshotStore:
     """Snapshots under one folder; the pointer names the one that counts. Any Hadoop path will do."""
 
@@ -88,10 +127,15 @@ class SnapshotStore:
         return rows[0].value if rows else None
 
     def load(self, rebuild: bool = False) -> DataFrame:
-        """The latest snapshot; an empty index if there is none, it is damaged, or `rebuild` is set."""
+        """The latest snapshot; an empty index if there never was one, or `rebuild` is set.
+
+        A pointer to a snapshot that is not there, or was not finished, raises ValueError.
+        """
         name = None if rebuild else self._latest()
-        if name is None or not self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")):
+        if name is None:
             return self.spark.createDataFrame([], SCHEMA)
+        if not self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")):
+            raise ValueError(f"{self.root}/LATEST names {name}, which is not a finished snapshot; load with rebuild=True to start anew")
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def save(self, index: DataFrame) -> str:
@@ -100,6 +144,5 @@ class SnapshotStore:
         stream = self._fs.create(self._path(f"{self.root}/LATEST.new"), True)
         stream.write(bytearray(name.encode()))
         stream.close()
-        self._fs.delete(self._path(f"{self.root}/LATEST"), False)
-        self._fs.rename(self._path(f"{self.root}/LATEST.new"), self._path(f"{self.root}/LATEST"))
+        replace(self.spark, f"{self.root}/LATEST.new", f"{self.root}/LATEST")
         return name

@@ -7,14 +7,16 @@ line items give episode numbers. Every query reads its whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signatures as S
 from ..functions import text as X
 from ..operators import actions, classify, exact, index, near, runs
 from ..operators.components import connected_components
-from ..sources import tree
+from ..operators.ordering import numbered
+from ..shipping import work_folder
+from ..sources import events, tree
 
 #: Thresholds of the embedding queries: the sign hashes of the tables lie about 32 bits apart.
 EMBEDDING_THRESHOLD, EMBEDDING_GOOD, EMBEDDING_RATIO = 23.0, 22, 0.75
@@ -38,7 +40,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_groups(spark, sf_dir):
     found = exact.exact_groups(_documents(spark, sf_dir), "digest", "doc_id")
-    return found.select("digest", "n", F.col("first").alias("first_id"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return found.select("digest", "n", F.col("first").alias("first_id"), F.col("member").alias("doc_id"))
 
 
 def _keepers(spark, sf_dir):
@@ -216,7 +218,7 @@ SIMHASH_RADIUS = 3
 
 def _simhashes(spark, sf_dir) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
     hashed = words.select("doc_id", F.conv(F.substring(F.md5("w"), 1, 16), 16, -10).cast("long").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1).alias(f"b{i}") for i in range(64)]
     bits = hashed.groupBy("doc_id").agg(*sums)
@@ -234,12 +236,16 @@ def near_groups(spark, sf_dir):
 def near_keeper(spark, sf_dir):
     docs = _documents(spark, sf_dir).withColumn("pages", F.ceil(F.col("n_chars") / CHUNK).cast("long"))
     members = docs.join(near_groups(spark, sf_dir), "doc_id")
+    return _ranked(members)
+
+
+def _ranked(members: DataFrame) -> DataFrame:
     ranked = exact.quality_rank(members, "group_id", "pages", "n_chars", "pages", "bytes", "name")
     return ranked.select("doc_id", "group_id", F.col("rank").cast("int").alias("rank"), "is_keeper")
 
 
 _SIM = (
-    """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+    """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents),
 x AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 16) AS UBIGINT) AS h FROM w),
 v AS (SELECT doc_id, """
     + " | ".join(f"(CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN CAST(1 AS UBIGINT) << {i} ELSE CAST(0 AS UBIGINT) END)" for i in range(64))
@@ -294,6 +300,11 @@ t AS (SELECT *, CASE WHEN p_size % 7 = 0 THEN '(eng)' WHEN p_size % 7 = 2 THEN '
 SELECT p_partkey, trim(regexp_replace('[' || lower(p_brand) || '] ' || {_cased_sql("p_name")} || ' ' || shown || ' ' || {_cased_sql("p_type")}, ' +', ' ', 'g')) AS standard FROM t"""
 
 
+_STANDARD = f"""sn AS ({_STD_SQL}),
+std AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN standard ELSE '*' END || CASE WHEN p_partkey % 3 = 0 THEN '.cbz' ELSE '' END AS name, standard, p_partkey % 3 = 0 OR p_size % 2 = 0 AS needs
+  FROM sn JOIN part USING (p_partkey))"""
+
+
 def episode_parse(spark, sf_dir):
     parsed = _part_names(spark, sf_dir).withColumn("e", X.parse_episode(F.col("episode_name")))
     return parsed.select("p_partkey", "episode_name", F.col("e.prefix").alias("prefix"), F.col("e.suffix").alias("suffix"), F.col("e.episode").alias("episode"), X.prefixed_page(F.col("p_size"), F.lit("001.jpg")).alias("page"))
@@ -312,6 +323,13 @@ def merge_names(spark, sf_dir):
 _RUNS = """r AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY {number}, {order} ROWS UNBOUNDED PRECEDING) AS run
   FROM (SELECT *, CASE WHEN {number} = 1 + lag({number}) OVER (PARTITION BY {keys} ORDER BY {number}, {order}) THEN 0 ELSE 1 END AS fresh FROM {table})),
 k AS (SELECT {keys}, run, min({number}) AS start, max({number}) AS "end", count(*) AS n FROM r GROUP BY {keys}, run HAVING count(*) >= 2)"""
+_MERGED = f"""{_PARSED}, {_RUNS.format(keys="p_brand, prefix, suffix", number="episode", order="p_partkey", table="e")},
+mm AS (SELECT *, regexp_extract(prefix, '^(.*?)(_EP_|_Chapter_|_vol_|_episode_|[ #第-])$', 1) AS title, regexp_extract(prefix, '(_EP_|_Chapter_|_vol_|_episode_|[ #第-])$') AS mark FROM k),
+rk AS (SELECT p_brand, prefix, suffix, run, start, "end", n,
+  list_aggregate(list_transform(string_split(title, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', ' ')
+  || CASE mark WHEN '_EP_' THEN '_Ep_' WHEN '_vol_' THEN '_Vol_' WHEN '_episode_' THEN '_Episode_' ELSE mark END
+  || CAST(start AS VARCHAR) || CASE WHEN mark IN ('-', '#', '第') THEN 'to' ELSE 'To' END || CAST("end" AS VARCHAR) || suffix AS merged_name,
+  row_number() OVER (ORDER BY lower(p_brand), lower(prefix), lower(suffix), start, p_brand, prefix, suffix, run) AS place FROM mm)"""
 
 
 def episode_runs(spark, sf_dir):
@@ -340,14 +358,17 @@ def archive_inventory(spark, sf_dir):
 
 
 def natural_order(spark, sf_dir):
-    names = _documents(spark, sf_dir)
-    order = Window.partitionBy("lang").orderBy(X.natural_key(F.col("name")))
-    return names.select("doc_id", "lang", F.row_number().over(order).cast("int").alias("place"))
+    names = numbered(_documents(spark, sf_dir).select("doc_id", "lang", "name"), [F.col("lang"), X.natural_key(F.col("name"))], "place")
+    first = names.groupBy(F.col("lang").alias("_lang")).agg(F.min("place").alias("_first"))
+    return names.join(first, F.col("lang").eqNullSafe(F.col("_lang"))).select("doc_id", "lang", (F.col("place") - F.col("_first") + 1).cast("int").alias("place"))
 
 
 def unique_names(spark, sf_dir):
-    wanted = _part_names(spark, sf_dir).select("p_partkey", F.col("p_brand").alias("parent"), F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("name"))
-    taken = wanted.select("parent", F.lit("size7").alias("name")).distinct()
+    """Many claims of one name, names that are taken, gaps among taken numbers, and names that look numbered."""
+    size = F.concat(F.lit("size"), F.col("p_size").cast("string"))
+    name = F.when(F.col("p_partkey") % 11 == 0, F.concat(size, F.lit("__"), (F.col("p_partkey") % 4 + 1).cast("string"))).otherwise(size)
+    wanted = _part_names(spark, sf_dir).select("p_partkey", F.col("p_brand").alias("parent"), name.alias("name"))
+    taken = wanted.select("parent").distinct().withColumn("name", F.explode(F.array(*map(F.lit, ["size7", "size7__2", "size7__4", "size8__3", "size9__02"]))))
     return exact.unique_names(wanted, taken, "parent", "name", "p_partkey").select("p_partkey", "free_name")
 
 
@@ -389,17 +410,46 @@ ix AS (SELECT l.doc_id, CASE WHEN quality = 1 THEN fingerprint ELSE 'stale' END
   FROM (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) l LEFT JOIN wk USING (doc_id))"""
 
 
+def index_remove(spark, sf_dir):
+    """The index without the works that are gone: here, the longer documents."""
+    _, known = _snapshots(spark, sf_dir)
+    return index.remove(known, _read(spark, sf_dir, "documents").where("n_chars > 2000"), "doc_id").select("doc_id")
+
+
+def index_metadata(spark, sf_dir):
+    """Page counts and sizes of all works: of a fresh record as it has them, else found anew, else of the old record."""
+    works, known = _snapshots(spark, sf_dir)
+    sides = lambda df, w, h: df.withColumn("width", F.col("page_count") % w).withColumn("height", F.col("page_count") % h)
+    found = sides(works.where("doc_id % 3 <> 0").select("doc_id", "page_count"), 5, 11)
+    return index.ensure_metadata(works, sides(known, 7, 3), found, "doc_id", "fingerprint")
+
+
+def signature_hits(spark, sf_dir):
+    """Records whose signature was made from 12 pages."""
+    records = _signatures(spark, sf_dir).select("ord", F.col("pages").alias("perceptual_num_pages"), F.col("signature").alias("perceptual_hashes"))
+    return records.select("ord", F.col("perceptual_num_pages").alias("num_pages"), index.signature_hit(12).alias("is_hit"))
+
+
+def trash_names(spark, sf_dir):
+    """Places in the trash for removed copies that share a name within their source."""
+    gone = _keepers(spark, sf_dir).where(~F.col("is_keeper")).select("doc_id", "source", F.lit("copy").alias("name"))
+    nothing = gone.limit(0).select("source", "name")
+    return exact.unique_names(gone, nothing, "source", "name", "doc_id", first=1).select("doc_id", F.col("free_name").alias("place"))
+
+
 # --- actions ----------------------------------------------------------------------------------------
 
 
 def _actions(spark, sf_dir) -> DataFrame:
-    exact_rows = actions.duplicate_actions(_keepers(spark, sf_dir), "exact", "digest", "doc_id", "bytes")
-    gone = _keepers(spark, sf_dir).where(~F.col("is_keeper"))
-    left = exact.survivors(_documents(spark, sf_dir), gone, "doc_id")
-    groups = near_groups(spark, sf_dir)
-    several = groups.join(left, "doc_id").withColumn("pages", F.ceil(F.col("n_chars") / CHUNK).cast("long"))
-    near_rows = actions.duplicate_actions(exact.quality_rank(several, "group_id", "pages", "n_chars", "pages", "bytes", "name"), "near", "group_id", "doc_id", "bytes")
-    return exact_rows.unionByName(near_rows)
+    docs = _documents(spark, sf_dir)
+    # Keepers are needed twice: their slim rows are written once.
+    work_folder(spark)
+    keepers = exact.exact_keeper(docs, "digest", F.col("name"), F.col("name")).select("digest", "doc_id", "bytes", "is_keeper").checkpoint()
+    left = exact.survivors(docs, keepers.where(~F.col("is_keeper")), "doc_id")
+    several = near_groups(spark, sf_dir).join(left, "doc_id").withColumn("pages", F.ceil(F.col("n_chars") / CHUNK).cast("long"))
+    kept = exact.quality_keeper(several, "group_id", "pages", "n_chars", "pages", "bytes", "name")
+    near_rows = actions.duplicate_actions(kept, "near", "group_id", "doc_id", "bytes")
+    return actions.duplicate_actions(keepers, "exact", "digest", "doc_id", "bytes").unionByName(near_rows)
 
 
 def plan_actions(spark, sf_dir):
@@ -407,7 +457,125 @@ def plan_actions(spark, sf_dir):
 
 
 def run_report(spark, sf_dir):
-    return actions.report(_actions(spark, sf_dir)).select("exact_removed", "near_removed", "bytes_reclaimed", (F.col("exact_removed") + F.col("near_removed")).alias("total"), X.format_size(F.col("bytes_reclaimed")).alias("reclaimed"))
+    planned = _actions(spark, sf_dir).unionByName(_standardise(spark, sf_dir)).unionByName(_merges(spark, sf_dir)).unionByName(_creator_renames(spark, sf_dir))
+    total = actions.report(planned, _documents(spark, sf_dir))
+    return total.select("discovered", "exact_removed", "near_removed", "bytes_reclaimed", "standardised", "merged", "suggestions", (F.col("exact_removed") + F.col("near_removed")).alias("total"), X.format_size(F.col("bytes_reclaimed")).alias("reclaimed"))
+
+
+# --- a library of pages and archives ----------------------------------------------------------------
+
+
+def _entries(spark, sf_dir) -> DataFrame:
+    """A directory tree from the pages table: some pages lie in a host's own folder, whose subfolders then do not count."""
+    n = F.col("page_id")
+    host = F.concat(F.lit("/lib/"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1))
+    parent = F.when(n % 7 == 0, host).otherwise(F.concat(host, F.lit("/"), (n % 23).cast("string")))
+    ending = F.element_at(F.array(*map(F.lit, [".JPG", ".webp", ".txt", ".CBZ", ".png", ".webp"])), (n % 6 + 1).cast("int"))
+    name = F.concat(F.when(n % 13 == 0, "._").otherwise(""), F.lit("p"), n.cast("string"), ending)
+    rows = _read(spark, sf_dir, "pages").select("page_id", parent.alias("parent"), name.alias("name"), F.octet_length("html").cast("long").alias("length"))
+    return rows.select(F.concat("parent", F.lit("/"), "name").alias("path"), "parent", "name", F.lit(False).alias("is_dir"), "length", F.col("page_id").alias("mtime_ns"))
+
+
+def works_inventory(spark, sf_dir):
+    """Folders with pages and archives, each with its size, and whether its pages are to be converted."""
+    entries = _entries(spark, sf_dir)
+    found = tree.needs_page_conversion(tree.works(entries), tree.folder_pages(entries))
+    return found.select("path", "kind", "parent", "name", "n_pages", "size", "needs_pages")
+
+
+def page_order(spark, sf_dir):
+    """Pages of folders in natural order, numbered from 0."""
+    return tree.numbered_pages(tree.folder_pages(_entries(spark, sf_dir))).select("path", "work", F.col("page_no").cast("int").alias("page_no"))
+
+
+_TREE = r"""e AS (SELECT page_id, parent, parent || '/' || name AS path, name, length FROM (
+  SELECT page_id, '/lib/' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || CASE WHEN page_id % 7 = 0 THEN '' ELSE '/' || CAST(page_id % 23 AS VARCHAR) END AS parent,
+    CASE WHEN page_id % 13 = 0 THEN '._' ELSE '' END || 'p' || CAST(page_id AS VARCHAR) || ['.JPG', '.webp', '.txt', '.CBZ', '.png', '.webp'][1 + page_id % 6] AS name,
+    CAST(strlen(html) AS BIGINT) AS length FROM pages)),
+pg AS (SELECT * FROM e WHERE page_id % 13 <> 0 AND page_id % 6 IN (0, 1, 4, 5)),
+fo AS (SELECT parent AS path, 'folder' AS kind, count(*) AS n_pages, CAST(sum(length) AS BIGINT) AS size, bool_or(name NOT LIKE '%.webp') AS needs_pages FROM pg GROUP BY parent),
+al AS (SELECT * FROM fo UNION ALL SELECT path, 'archive', NULL, length, true FROM e WHERE page_id % 6 = 3)"""
+
+
+def file_prints(spark, sf_dir):
+    """Digest of each page's bytes and quick fingerprints of files and folders."""
+    pages = _read(spark, sf_dir, "pages")
+    size = F.octet_length("html").cast("long")
+    quick = lambda kind: exact.quick_fingerprint(F.lit(kind), size, F.col("page_id"))
+    return pages.select("page_id", exact.file_digest(F.col("html").cast("binary")).alias("digest"), quick("archive").alias("file_print"), quick("folder").alias("folder_print"))
+
+
+# --- choices, names to standard, merges, creators ---------------------------------------------------
+
+
+def keeper_choice(spark, sf_dir):
+    """Someone keeps the second best of the groups with an even id."""
+    ranked = near_keeper(spark, sf_dir)
+    overrides = ranked.where("group_id % 2 = 0").select("group_id", F.lit(2).alias("rank")).distinct()
+    return exact.choose(ranked, overrides, "group_id").select("doc_id", "group_id", "is_keeper")
+
+
+def _work_names(spark, sf_dir) -> DataFrame:
+    """Works from parts: every third an archive, every fifth with its standard name already."""
+    names = _part_names(spark, sf_dir)
+    kind = F.when(F.col("p_partkey") % 3 == 0, "archive").otherwise("folder")
+    name = F.when(F.col("p_partkey") % 5 == 0, X.standard_name(F.col("name"))).otherwise(F.col("name"))
+    own = names.select("p_partkey", "p_size", kind.alias("kind"), F.concat(name, F.when(F.col("p_partkey") % 3 == 0, ".cbz").otherwise("")).alias("name"))
+    needs = (F.col("kind") == "archive") | (F.col("p_size") % 2 == 0)
+    return own.withColumn("standard", X.standard_folder_name(F.col("kind"), F.col("name"))).withColumn("needs_pages", needs)
+
+
+def _standardise(spark, sf_dir) -> DataFrame:
+    return actions.standardise_actions(_work_names(spark, sf_dir), "p_partkey", "p_size", "name", "standard", "needs_pages")
+
+
+def standardise_plan(spark, sf_dir):
+    return _standardise(spark, sf_dir).select("kind", "src", "dst")
+
+
+def _merges(spark, sf_dir) -> DataFrame:
+    return actions.merge_actions(runs.merge_members(_part_names(spark, sf_dir), "p_brand", "episode_name", "p_partkey", "p_partkey"))
+
+
+def merge_plan(spark, sf_dir):
+    """Which folders are merged into which, groups in the order of merging."""
+    return _merges(spark, sf_dir).select(F.col("group_id").cast("long").alias("place"), "src", "dst", F.col("bytes").alias("episode"))
+
+
+def _suggested(spark, sf_dir) -> DataFrame:
+    return classify_suggest(spark, sf_dir).withColumn("name", F.concat(F.lit("work "), F.col("vec_id").cast("string")))
+
+
+def _creator_renames(spark, sf_dir) -> DataFrame:
+    return actions.creator_actions(_suggested(spark, sf_dir), "vec_id", F.col("name"))
+
+
+def suggestion_order(spark, sf_dir):
+    """Suggestions by confidence, distance and name, with the names they propose."""
+    found = classify.ordered(_suggested(spark, sf_dir), "name")
+    return found.select("vec_id", "creator", "confidence", F.col("place").cast("int").alias("place"), X.tagged_name(F.col("name"), F.col("creator")).alias("proposed"))
+
+
+def tag_split(spark, sf_dir):
+    """Works with and without a creator; an archive's suffix belongs to its name here."""
+    names = _part_names(spark, sf_dir)
+    plain = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Vol. "), F.col("p_size").cast("string"), F.lit(".cbz"))).otherwise(F.col("tagged"))
+    return names.select("p_partkey", plain.alias("name"), X.creator_tag(plain).isNull().alias("untagged"))
+
+
+def decisions(spark, sf_dir):
+    """Planned removals of exact copies after someone declined those of longer documents."""
+    docs = _documents(spark, sf_dir)
+    planned = actions.duplicate_actions(_keepers(spark, sf_dir), "exact", "digest", "doc_id", "bytes")
+    overrides = docs.where("n_chars > 1500").select(F.col("doc_id").cast("string").alias("src"), F.lit("skip").alias("decision"))
+    return actions.decide(planned, overrides).select("src", "kind", "decision")
+
+
+def log_lines(spark, sf_dir):
+    """The text log of the planned removals of exact copies."""
+    planned = actions.duplicate_actions(_keepers(spark, sf_dir), "exact", "digest", "doc_id", "bytes")
+    told = events.action_events(planned, F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    return told.select(events.log_line(F.col("time"), F.col("level"), F.col("name"), F.col("message")).alias("line"))
 
 
 _PLAN = f"""WITH RECURSIVE {_SIM}, {_DOCS},
@@ -424,6 +592,8 @@ def queries() -> dict:
         exact_groups, exact_keeper, exact_survivors, work_digest, page_sample, page_hash, signature, pair_distance, pair_distance_gated,
         near_works, near_groups, near_keeper, std_name, episode_parse, episode_runs, merge_names, creator_tags, classify_scores, classify_suggest,
         index_hits, index_upsert, index_prune, archive_inventory, natural_order, unique_names, size_format, page_budget, plan_actions, run_report,
+        works_inventory, page_order, file_prints, keeper_choice, standardise_plan, merge_plan, suggestion_order, tag_split, decisions, log_lines,
+        index_remove, index_metadata, signature_hits, trash_names,
     ]
     return {f.__name__: f for f in names}
 
@@ -431,7 +601,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     number = "number"
     return {
-        "exact_groups": f"WITH {_DOCS} SELECT digest, count(*) AS n, min(doc_id) AS first_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM d WHERE digest IS NOT NULL GROUP BY digest HAVING count(*) > 1",
+        "exact_groups": f"WITH {_DOCS}, g AS (SELECT digest, count(*) AS n, min(doc_id) AS first_id FROM d WHERE digest IS NOT NULL GROUP BY digest HAVING count(*) > 1) SELECT digest, n, first_id, doc_id FROM g JOIN d USING (digest)",
         "exact_keeper": f"{_KEEP} SELECT digest, doc_id, n, is_keeper FROM g WHERE n > 1",
         "exact_survivors": f"{_KEEP} SELECT doc_id, digest FROM d WHERE doc_id NOT IN (SELECT doc_id FROM g WHERE NOT is_keeper)",
         "work_digest": """WITH p AS (SELECT conv_id, turn, lower(CAST(turn AS VARCHAR) || '_' || role || '.TXT') AS name, text FROM conversations)
@@ -471,19 +641,50 @@ SELECT page_id, folder, name, suffix, suffix IN ('.cbz', '.cbr', '.zip', '.pdf',
   suffix IN ('.jpg', '.jpeg', '.png', '.webp', '.gif', '.bmp', '.tif', '.tiff') AND NOT is_junk AS is_page, is_junk FROM x""",
         "natural_order": f"""WITH {_DOCS} SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY regexp_extract(name, '^[^0-9]*'),
   CAST(regexp_extract(name, '[0-9]+') AS BIGINT), doc_id) AS INTEGER) AS place FROM d""",
-        "unique_names": """WITH w AS (SELECT p_partkey, p_brand, 'size' || CAST(p_size AS VARCHAR) AS name, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) + CASE WHEN p_size = 7 THEN 1 ELSE 0 END AS k FROM part)
-SELECT p_partkey, CASE WHEN k = 1 THEN name ELSE name || '__' || CAST(k AS VARCHAR) END AS free_name FROM w""",
+        "unique_names": """WITH w AS (SELECT p_partkey, p_brand, 'size' || CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 11 = 0 THEN '__' || CAST(p_partkey % 4 + 1 AS VARCHAR) ELSE '' END AS name FROM part),
+t AS (SELECT DISTINCT p_brand, unnest(['size7', 'size7__2', 'size7__4', 'size8__3', 'size9__02']) AS name FROM part),
+u AS (SELECT * FROM t UNION SELECT p_brand, name FROM w),
+k AS (SELECT w.*, row_number() OVER (PARTITION BY p_brand, name ORDER BY p_partkey) - CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.p_brand = w.p_brand AND t.name = w.name) THEN 0 ELSE 1 END AS k FROM w),
+b AS (SELECT p_brand, name, max(k) + 20 AS most FROM k GROUP BY ALL),
+n AS (SELECT p_brand, name, unnest(range(2, most + 2)) AS j FROM b),
+f AS (SELECT *, row_number() OVER (PARTITION BY p_brand, name ORDER BY j) AS k FROM n
+  WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.p_brand = n.p_brand AND u.name = n.name || '__' || CAST(n.j AS VARCHAR)))
+SELECT p_partkey, CASE WHEN k.k = 0 THEN k.name ELSE k.name || '__' || CAST(f.j AS VARCHAR) END AS free_name
+FROM k LEFT JOIN f ON f.p_brand = k.p_brand AND f.name = k.name AND f.k = k.k""",
         "size_format": f"WITH {_DOCS}, s AS (SELECT source, CAST(sum(bytes) AS BIGINT) AS bytes, max(bytes) AS largest FROM d GROUP BY source) SELECT source, bytes, {_format_sql('bytes')} AS total, {_format_sql('largest')} AS most, {_format_sql('(-largest)')} AS freed FROM s",
         "page_budget": f"""WITH {_DOCS}, b AS (SELECT doc_id, bytes, CASE WHEN bytes > 0 THEN least(greatest(2 * bytes, 1024), 4194) ELSE 4194 END AS budget FROM d)
 SELECT doc_id, CAST(budget AS BIGINT) AS budget, round(CASE WHEN bytes <= 0 THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0.05 AS DOUBLE), least(CAST(1 AS DOUBLE), sqrt(CAST(budget AS DOUBLE) / (bytes * 3)) * CAST(0.95 AS DOUBLE))) END, 9) AS scale FROM b""",
-        "merge_names": f"""WITH {_PARSED}, {_RUNS.format(keys="p_brand, prefix, suffix", number="episode", order="p_partkey", table="e")},
-m AS (SELECT *, regexp_extract(prefix, '^(.*?)(_EP_|_Chapter_|_vol_|_episode_|[ #第-])$', 1) AS title, regexp_extract(prefix, '(_EP_|_Chapter_|_vol_|_episode_|[ #第-])$') AS mark FROM k)
-SELECT p_brand, prefix, suffix, start, "end", n,
-  list_aggregate(list_transform(string_split(title, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', ' ')
-  || CASE mark WHEN '_EP_' THEN '_Ep_' WHEN '_vol_' THEN '_Vol_' WHEN '_episode_' THEN '_Episode_' ELSE mark END
-  || CAST(start AS VARCHAR) || CASE WHEN mark IN ('-', '#', '第') THEN 'to' ELSE 'To' END || CAST("end" AS VARCHAR) || suffix AS merged_name FROM m""",
+        "merge_names": f"""WITH {_MERGED} SELECT p_brand, prefix, suffix, start, "end", n, merged_name FROM rk""",
         "plan_actions": f"{_PLAN} SELECT phase, group_id, kind, src, bytes FROM acts",
         "run_report": f"""{_PLAN}, t AS (SELECT count(*) FILTER (kind = 'trash' AND phase = 'exact') AS exact_removed, count(*) FILTER (kind = 'trash' AND phase = 'near') AS near_removed,
   CAST(coalesce(sum(bytes) FILTER (kind = 'trash'), 0) AS BIGINT) AS bytes_reclaimed FROM acts)
-SELECT *, exact_removed + near_removed AS total, {_format_sql('bytes_reclaimed')} AS reclaimed FROM t""",
+SELECT (SELECT count(*) FROM documents) AS discovered, t.*, (WITH {_STANDARD} SELECT count(*) FROM std WHERE needs OR name <> standard) AS standardised,
+  (WITH {_MERGED} SELECT count(*) FROM rk) AS merged, (SELECT count(*) FROM ({_SUGGEST})) AS suggestions, exact_removed + near_removed AS total, {_format_sql('bytes_reclaimed')} AS reclaimed FROM t""",
+        "works_inventory": f"""WITH {_TREE}
+SELECT path, kind, regexp_replace(path, '/[^/]*$', '') AS parent, regexp_extract(path, '[^/]*$') AS name, n_pages, size, needs_pages FROM al
+WHERE NOT EXISTS (SELECT 1 FROM fo WHERE starts_with(al.path, fo.path || '/'))""",
+        "page_order": f"WITH {_TREE} SELECT path, parent AS work, CAST(row_number() OVER (PARTITION BY parent ORDER BY page_id) - 1 AS INTEGER) AS page_no FROM pg",
+        "file_prints": """SELECT page_id, sha256(html) AS digest, sha256('file:' || CAST(strlen(html) AS VARCHAR) || ':' || CAST(page_id AS VARCHAR)) AS file_print,
+  sha256('dir:' || CAST(page_id AS VARCHAR)) AS folder_print FROM pages""",
+        "keeper_choice": f"""WITH RECURSIVE {_SIM}, {_DOCS},
+q AS (SELECT doc_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY ceil(n_chars / {CHUNK}) DESC, n_chars * ceil(n_chars / {CHUNK}) DESC, bytes DESC, lower(name), name) AS rank
+  FROM d JOIN g USING (doc_id)) SELECT doc_id, group_id, rank = CASE WHEN group_id % 2 = 0 THEN 2 ELSE 1 END AS is_keeper FROM q""",
+        "standardise_plan": f"""WITH {_STANDARD}
+SELECT CASE WHEN needs THEN 'convert' ELSE 'rename' END AS kind, CAST(p_partkey AS VARCHAR) AS src, standard AS dst FROM std WHERE needs OR name <> standard""",
+        "merge_plan": f"""WITH {_MERGED} SELECT place, CAST(r.p_partkey AS VARCHAR) AS src, merged_name AS dst, r.episode FROM r JOIN rk USING (p_brand, prefix, suffix, run)""",
+        "suggestion_order": f"""WITH sugg AS ({_SUGGEST})
+SELECT vec_id, creator, confidence, CAST(row_number() OVER (ORDER BY CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, avg_distance, 'work ' || CAST(vec_id AS VARCHAR)) AS INTEGER) AS place,
+  '[' || creator || '] work ' || CAST(vec_id AS VARCHAR) AS proposed FROM sugg""",
+        "tag_split": f"""WITH {_NAMES} SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Vol. ' || CAST(p_size AS VARCHAR) || '.cbz' ELSE tagged END AS name, p_size % 3 = 0 AS untagged FROM n""",
+        "decisions": f"""{_KEEP} SELECT CAST(doc_id AS VARCHAR) AS src, CASE WHEN is_keeper THEN 'keep' ELSE 'trash' END AS kind, CASE WHEN n_chars > 1500 THEN 'skip' ELSE 'accept' END AS decision FROM g WHERE n > 1""",
+        "log_lines": f"""{_KEEP} SELECT '2024-05-06 07:08:09 [' || CASE WHEN is_keeper THEN 'INFO' ELSE 'WARNING' END || '] folioforge.exact: accept ' || CASE WHEN is_keeper THEN 'keep' ELSE 'trash' END
+  || ' ' || CAST(doc_id AS VARCHAR) AS line FROM g WHERE n > 1""",
+        "index_remove": f"""WITH {_INDEX} SELECT doc_id FROM ix WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 2000)""",
+        "index_metadata": f"""WITH {_INDEX}, o AS (SELECT wk.doc_id, wk.fingerprint, wk.page_count AS n, ix.fp, ix.page_count AS m FROM wk LEFT JOIN ix USING (doc_id)),
+h AS (SELECT *, coalesce(fp = fingerprint AND m > 0, false) AS is_hit FROM o)
+SELECT doc_id, fingerprint AS quick_fingerprint, CASE WHEN is_hit THEN m WHEN doc_id % 3 = 0 THEN coalesce(m, 0) ELSE CASE WHEN n > 0 THEN n ELSE coalesce(m, 0) END END AS page_count,
+  CASE WHEN is_hit THEN m % 7 WHEN doc_id % 3 = 0 THEN m % 7 ELSE n % 5 END AS width, CASE WHEN is_hit THEN m % 3 WHEN doc_id % 3 = 0 THEN m % 3 ELSE n % 11 END AS height, is_hit FROM h""",
+        "signature_hits": f"""WITH {_SIG} SELECT ord, pages AS num_pages, pages = 12 AS is_hit FROM s""",
+        "trash_names": f"""{_KEEP}, t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM g WHERE NOT is_keeper)
+SELECT doc_id, 'copy' || CASE WHEN k = 0 THEN '' ELSE '__' || CAST(k AS VARCHAR) END AS place FROM t""",
     }

@@ -1,12 +1,14 @@
-"""Pages of archives and images: members, dimensions, perceptual hashes, WebP output.
+"""Pages of archives, documents and images: members, dimensions, perceptual hashes, WebP output.
 
-Zip archives need the standard library only. Rar, PDF and EPUB pages and image decoding need
-packages that may be missing; such works then get no pages and a null signature.
+Zip archives and EPUB books need the standard library only; the pages of a PDF are the JPEG images
+that it embeds, in their order in the file. Rar members and image decoding need packages that may be
+missing; such works then get no pages and a null signature.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import natural_key
 from ..shipping import ship
 from .tree import JUNK_NAMES, PAGE_SUFFIXES
 
@@ -40,8 +43,15 @@ def dimensions(data: bytes) -> tuple[int | None, int | None]:
     if data[:2] == b"BM" and len(data) >= 26:
         w, h = struct.unpack("<ii", data[18:26])
         return w, abs(h)
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and data[12:16] == b"VP8X" and len(data) >= 30:
-        return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if data[12:16] == b"VP8L" and data[20] == 0x2F:
+            bits = int.from_bytes(data[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if data[12:16] == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
+            w, h = struct.unpack("<HH", data[26:30])
+            return w & 0x3FFF, h & 0x3FFF
     if data[:2] == b"\xff\xd8":
         at = 2
         while at + 9 < len(data) and data[at] == 0xFF:
@@ -85,22 +95,61 @@ def perceptual_hash(grey: np.ndarray, bits: int = 8) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def zip_pages(content: bytes) -> list[tuple[str, bytes]]:
+    """Readable image members of a zip archive by lower-cased name; none if it is damaged."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except (zipfile.BadZipFile, TypeError):
+        return []
+    pages = []
+    for name in sorted((n for n in archive.namelist() if is_member_page(n)), key=str.lower):
+        try:
+            pages.append((name, archive.read(name)))
+        except Exception:  # noqa: BLE001 - an unreadable member is skipped
+            continue
+    return pages
+
+
+def rar_pages(content: bytes) -> list[tuple[str, bytes]]:
+    """Image members of a rar archive, if a reader is installed."""
+    try:
+        import rarfile
+    except ImportError:
+        return []
+    try:
+        archive = rarfile.RarFile(io.BytesIO(content))
+        return [(n, archive.read(n)) for n in sorted((n for n in archive.namelist() if is_member_page(n)), key=str.lower)]
+    except (rarfile.Error, OSError):
+        return []
+
+
+_PDF_IMAGE = re.compile(rb"<<(?:[^<>]|<<[^<>]*>>)*/DCTDecode(?:[^<>]|<<[^<>]*>>)*>>\s*stream\r?\n", re.S)
+
+
+def pdf_pages(content: bytes) -> list[tuple[str, bytes]]:
+    """JPEG images that a PDF embeds without further filters, in their order in the file."""
+    pages = []
+    for found in _PDF_IMAGE.finditer(content):
+        end = content.find(b"endstream", found.end())
+        data = content[found.end() : end].rstrip(b"\r\n") if end > 0 else b""
+        if data[:2] == b"\xff\xd8":
+            pages.append((f"page_{len(pages) + 1}.jpg", data))
+    return pages
+
+
+def document_pages(name: str, content: bytes) -> list[tuple[str, bytes]]:
+    """(page name, bytes) of an archive or document, by the suffix of its name."""
+    kind = name.rsplit(".", 1)[-1].lower()
+    return {"cbr": rar_pages, "pdf": pdf_pages}.get(kind, zip_pages)(content)
+
+
 def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import hashlib
 
     for frame in frames:
         rows = []
         for work, content in zip(frame["path"], frame["content"], strict=True):
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-            except (zipfile.BadZipFile, TypeError):
-                continue
-            names = sorted((n for n in archive.namelist() if is_member_page(n)), key=str.lower)
-            for no, name in enumerate(names):
-                try:
-                    data = archive.read(name)
-                except Exception:  # noqa: BLE001 - an unreadable member is skipped
-                    continue
+            for no, (name, data) in enumerate(document_pages(work, content)):
                 grey = decode_grey(data)
                 rows.append((work, no, name, len(data), *dimensions(data), hashlib.sha256(data).hexdigest(), None if grey is None else perceptual_hash(grey)))
         out = pd.DataFrame(rows, columns=["work", "page_no", "page_name", "length", "width", "height", "sha256", "phash"])
@@ -108,7 +157,7 @@ def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def archive_pages(files: DataFrame) -> DataFrame:
-    """Pages of zip archives given as (path, content), in lexicographic order of the lower-cased name."""
+    """Pages of archives and documents given as (path, content), in the order of `document_pages`."""
     ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(_members, MEMBERS)
 
@@ -125,12 +174,40 @@ def metadata(pages: DataFrame) -> DataFrame:
     return pages.groupBy("work").agg(F.count(F.lit(1)).cast("int").alias("page_count"), F.min_by("width", "page_no").alias("width"), F.min_by("height", "page_no").alias("height"))
 
 
-def encode_webp(data: bytes, quality: int = 95) -> bytes | None:
-    """WebP bytes of an image file, if an image library is installed."""
+def encode_webp(data: bytes, scale: float = 1.0, quality: int = 95) -> bytes | None:
+    """WebP bytes of an image file at a linear scale, if an image library is installed and can read it."""
     try:
         from PIL import Image
     except ImportError:
         return None
-    out = io.BytesIO()
-    Image.open(io.BytesIO(data)).convert("RGB").save(out, "WEBP", quality=quality, method=6)
+    try:
+        image = Image.open(io.BytesIO(data))
+        image = image.convert("L" if image.mode in ("1", "L") else "RGB")
+        if scale < 0.999:
+            image = image.resize([max(1, round(s * scale)) for s in image.size], Image.Resampling.LANCZOS)
+        out = io.BytesIO()
+        image.save(out, "WEBP", quality=quality, method=6)
+    except (OSError, ValueError):
+        return None
     return out.getvalue()
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+def file_dimensions(path: pd.Series) -> pd.DataFrame:
+    """Width and height of image files from their headers; null where a file can't be read."""
+    rows = []
+    for name in path:
+        try:
+            with open(name, "rb") as file:
+                rows.append(dimensions(file.read()))
+        except (OSError, TypeError):
+            rows.append((None, None))
+    return pd.DataFrame(rows, columns=["width", "height"]).astype("Int32")
+
+
+def folder_metadata(pages: DataFrame) -> DataFrame:
+    """(work, page_count, width, height) of folders from their pages (work, path, name): the first page in natural order has the size."""
+    ship(pages.sparkSession)
+    counted = pages.groupBy("work").agg(F.count(F.lit(1)).cast("int").alias("page_count"), F.min_by("path", natural_key(F.col("name"))).alias("first"))
+    size = file_dimensions(F.col("first"))
+    return counted.withColumn("size", size).select("work", "page_count", "size.width", "size.height")

@@ -1,12 +1,15 @@
-"""Import of an index kept as one JSON document {version, root, updated_at, comics: {path: record}}."""
+"""Import and export of an index kept as one JSON document {version, root, updated_at, comics: {path: record}}."""
 
 from __future__ import annotations
 
+import json
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.signatures import hex_to_hash
-from ..operators.index import SCHEMA
+from ..functions.signatures import hash_to_hex, hex_to_hash
+from ..operators.index import SCHEMA, replace
 
 VERSION = 1
 _RECORD = (
@@ -42,6 +45,31 @@ def read_index(spark: SparkSession, path: str, root: str) -> DataFrame:
     ).select(*SCHEMA.names)
 
 
-def write_json(index: DataFrame, path: str) -> None:
-    """One JSON object per record, sorted by path."""
-    index.orderBy("path").write.json(path)
+_FIELDS = ["path", "kind", "quick_fingerprint", "content_fingerprint", "exact_hash", "page_count", "width", "height", "perceptual_hashes", "perceptual_num_pages", "updated_at"]
+
+
+def write_index(index: DataFrame, path: str, root: str) -> None:
+    """Write the index as one JSON document that `read_index` reads, records sorted by path.
+
+    The document is streamed record by record to a file beside it, which then replaces it in one step:
+    readers see the old or the new index, never a part. An exact hash is written only if it belongs to
+    the record's content.
+    """
+    spark = index.sparkSession
+    hashes = F.transform(F.coalesce("perceptual_hashes", F.array().cast("array<bigint>")), hash_to_hex)
+    own = index.withColumn("exact_hash", F.when(F.col("exact_fp").eqNullSafe(F.col("content_fingerprint")), F.col("exact_hash"))).withColumn("perceptual_hashes", hashes)
+    stamp = F.date_format(F.to_utc_timestamp("updated_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    record = F.to_json(F.struct(*[F.col(c) for c in _FIELDS]), {"ignoreNullFields": "false"})
+    lines = own.withColumn("updated_at", stamp).select("path", F.concat(F.to_json(F.array("path")), F.lit("\n"), record).alias("line")).orderBy("path")
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path
+    files = hadoop_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(hadoop_path(f"{path}.tmp"), True)
+    now = datetime.now(timezone.utc).isoformat()
+    out.write(bytearray(f'{{"version": {VERSION}, "root": {json.dumps(root)}, "updated_at": "{now}", "comics": {{'.encode()))
+    for k, row in enumerate(lines.toLocalIterator()):
+        key, text = row.line.split("\n", 1)
+        out.write(bytearray(("," if k else "").encode() + key[1:-1].encode() + b": " + text.encode()))
+    out.write(bytearray(b"}}\n"))
+    out.close()
+    replace(spark, f"{path}.tmp", path)

@@ -1,4 +1,4 @@
-"""A directory tree as a table, by a Python data source: one partition per top-level entry.
+"""A directory tree as a table: by a Python data source, one partition per top-level entry, or level by level.
 
 Unlike Spark's own file listing it keeps names that start with `_`, skips those that start with `.`,
 never follows symbolic links, and reports modification times in nanoseconds.
@@ -10,12 +10,14 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import suffix
-from ..shipping import ship
+from ..functions.text import natural_key, suffix
+from ..operators.exact import quick_fingerprint
+from ..shipping import ship, work_folder
 
 SCHEMA = "path string, parent string, name string, is_dir boolean, length long, mtime_ns long"
 
@@ -80,6 +82,43 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("folio_tree").option("path", root).load()
 
 
+def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "parent", "name", "is_dir", "length", "mtime_ns"]
+    for frame in frames:
+        rows = [row for folder in frame["path"] for row in TreeReader("").read(_Entry(folder, False))]
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def scan(spark: SparkSession, root: str, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries of the tree as `list_tree` has them, and the works that were taken from the index.
+
+    The tree is listed level by level, each level's folders in parallel however deep they lie. A folder
+    that the index knows as a work, with the quick fingerprint it has now, is not listed at all: it is
+    returned as (path, page_count). The inside of folders with pages is not listed either.
+    """
+    ship(spark)
+    work_folder(spark)
+    top = Path(root).absolute()
+    start = [(str(top), top.stat().st_mtime_ns)] if top.is_dir() else []
+    level = spark.createDataFrame(start, "path string, mtime_ns long")
+    known = None
+    if index is not None:
+        known = index.where("kind = 'folder'").select("path", F.col("quick_fingerprint").alias("_known"), "page_count")
+    entries = spark.createDataFrame([], SCHEMA)
+    cached = spark.createDataFrame([], "path string, page_count int")
+    while level.limit(1).count():
+        if known is not None:
+            now = quick_fingerprint(F.lit("folder"), F.lit(None), F.col("mtime_ns"))
+            seen = level.join(known, "path").where(F.col("_known") == now).select("path", F.col("page_count").cast("int").alias("page_count")).checkpoint()
+            cached = cached.unionByName(seen)
+            level = level.join(seen.select("path"), "path", "left_anti")
+        found = level.repartition("path").select("path").mapInPandas(_listed, SCHEMA).checkpoint()
+        entries = entries.unionByName(found)
+        with_pages = found.where(~F.col("is_dir") & is_page(F.col("path"), F.col("name"))).select("parent").distinct()
+        level = found.where("is_dir").join(with_pages, "parent", "left_anti").select("path", "mtime_ns")
+    return entries, cached
+
+
 def is_junk(path: Column, name: Column) -> Column:
     return name.startswith("._") | F.lower(name).isin(JUNK_NAMES) | path.contains("/__MACOSX/") | path.startswith("__MACOSX/")
 
@@ -106,9 +145,16 @@ def works(entries: DataFrame) -> DataFrame:
 
 
 def folder_pages(entries: DataFrame) -> DataFrame:
+    """Pages of folders; `numbered_pages` puts them in order."""
     return entries.where(~F.col("is_dir") & is_page(F.col("path"), F.col("name"))).select(F.col("parent").alias("work"), "path", "name", "length", "mtime_ns")
 
 
+def numbered_pages(pages: DataFrame, work: str = "work", name: str = "name") -> DataFrame:
+    """Add page_no, from 0 in the natural order of the names of a work."""
+    order = Window.partitionBy(work).orderBy(natural_key(F.col(name)))
+    return pages.withColumn("page_no", F.row_number().over(order) - 1)
+
+
 def needs_page_conversion(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Works with `needs_pages`: an archive, or a folder with a page that is not .webp."""
     other = pages.groupBy(F.col("work").alias("path")).agg(F.max(suffix(F.col("name")) != ".webp").alias("_other"))
