@@ -13,8 +13,10 @@ byte or a word. The steps, none of which compares a document with the whole corp
    decided too: nothing repeats. What is left, one row for each distinct context, is open.
 3. The contexts of open rows are cut out of the texts and sent to their anchor's shard, where an
    exact engine (suffix order, or suffix automaton) finds the windows that start earlier.
-4. Anchors with more than HOT open contexts are not sent to one shard: their windows are hashed to
-   128 bits and each window is its own key.
+4. An anchor with more than HOT open contexts is not one shard: its contexts are cut again by the
+   anchors of longer grams, halfway to a window and then of three quarters. Equal windows still meet,
+   and each part has a shard of its own. Only what even then is more than HOT contexts of one gram is
+   decided window by window, each window being its own key of 128 bits.
 
 Documents are ordered by id, null last, and then by a 64-bit hash of the text, which is a key column
 of its own: texts that share an id, or have none, stay apart. Rows that repeat id and text are one document.
@@ -269,6 +271,30 @@ def _shards(spec: Spec, engine: Callable):
     return run
 
 
+def _recut(spec: Spec):
+    """Contexts cut anew by the anchors of the spec's grams; keys depend on the old and the new anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = batch.column("context").to_pylist()
+            raw = b"".join(parts)
+            size = 1 if spec.unit == "byte" else 8
+            values = byte_values(np.frombuffer(raw, np.uint8)) if size == 1 else np.frombuffer(raw, np.uint64)
+            first = np.concatenate([[0], np.cumsum([len(p) // size for p in parts])])
+            row, at, more, anchor, context = anchor_runs(values, first, spec)
+            f, d, h, old = (batch.column(x).to_numpy()[row] for x in ("f", "d", "h", "at"))
+            start, _ = unpack(old)
+            low = ((first[row] + at) * size).tolist()
+            high = ((first[row] + at + more + spec.width) * size).tolist()
+            pieces = pa.array([raw[a:b] for a, b in zip(low, high, strict=True)], pa.binary())
+            key = signed(mix64(mix64(f.view(np.uint64)) ^ anchor))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(signed(context)), pa.array(d), pa.array(h), pa.array(pack(start + at, more)), pieces], names=["f", "c", "d", "h", "at", "context"])
+
+    return run
+
+
 def _windows(spec: Spec):
     """Every window of a hot anchor's contexts as a key of its own."""
 
@@ -318,10 +344,24 @@ def repeated_spans(base: DataFrame, spec: Spec, engine: Callable) -> DataFrame:
     opened = opened.join(many, "f", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     per_doc = opened.groupBy("d", "h").agg(F.collect_list(F.struct("f", "at", "hot")).alias("rows"))
     contexts = stored(base.join(per_doc, ["d", "h"]).dropDuplicates(["d", "h"]).mapInArrow(_cut(spec), "f long, d long, h long, at long, hot boolean, context binary"), "contexts")
-    cold = by_key(contexts.where("not hot").drop("hot"), "f", then=("d", "h", "at")).mapInArrow(_shards(spec, engine), spans)
-    windows = contexts.where("hot").select("d", "h", "at", "context").mapInArrow(_windows(spec), "f long, c long, d long, h long, at long")
-    hot = by_key(windows, "f", "c", then=("d", "h", "at")).mapInArrow(_window_spans(spec), spans)
-    return decided.unionByName(cold).unionByName(hot)
+    out = decided.unionByName(by_key(contexts.where("not hot").drop("hot"), "f", then=("d", "h", "at")).mapInArrow(_shards(spec, engine), spans))
+    rest = contexts.where("hot").drop("hot")
+    for share in (2, 4):
+        if not rest.limit(1).count():
+            return out
+        finer = Spec(spec.unit, spec.width, spec.width - (spec.width - spec.gram) // share, spec.own)
+        parts = stored(rest.mapInArrow(_recut(finer), "f long, c long, d long, h long, at long, context binary"), "contexts")
+        # Of equal contexts only the first is open; where it is in the same document (or place), none came before.
+        firsts = parts.groupBy("f", "c").agg(F.min(F.struct("d", "h", "at")).alias("first"))
+        parts = parts.join(firsts, ["f", "c"])
+        own = F.struct("d", "h", "at") != F.col("first") if spec.own else F.col("d") != F.col("first.d")
+        out = out.unionByName(parts.where(own).select("d", "h", "at").mapInArrow(_decided(spec), spans))
+        opened = parts.where(~own).select("f", "d", "h", "at", "context")
+        many = opened.groupBy("f").count().where(F.col("count") > HOT[spec.unit]).select("f")
+        out = out.unionByName(by_key(opened.join(many, "f", "left_anti"), "f", then=("d", "h", "at")).mapInArrow(_shards(spec, engine), spans))
+        rest = stored(opened.join(many, "f", "left_semi"), "contexts")
+    windows = rest.select("d", "h", "at", "context").mapInArrow(_windows(spec), "f long, c long, d long, h long, at long")
+    return out.unionByName(by_key(windows, "f", "c", then=("d", "h", "at")).mapInArrow(_window_spans(spec), spans))
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -60,7 +60,7 @@ def brute_words(rows, w):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 3, 1])
 def test_bytes_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", {"byte": hot, "word": hot})
     rows = corpus()
@@ -70,7 +70,7 @@ def test_bytes_match_brute_force(spark, monkeypatch, hot):
     assert sum(r[2] for r in got) > 1000
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 3, 1])
 def test_words_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", {"byte": hot, "word": hot})
     rows = corpus(6)
@@ -93,7 +93,7 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert lpf_dedup.remove_repeats(nothing).count() == automaton_dedup.remove_repeats(nothing).count() == 0
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 3, 1])
 def test_many_texts_of_one_id_and_of_none(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", {"byte": hot, "word": hot})
     rng = random.Random(9)
