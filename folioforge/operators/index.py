@@ -111,7 +111,11 @@ def replace(spark: SparkSession, source: str, target: str) -> None:
 
 
 class SnapshotStore:
-    """Snapshots under one folder; the pointer names the one that counts. Any Hadoop path will do."""
+    """Snapshots and later changes under one folder; a pointer names the snapshot that counts.
+
+    Changes that were appended after it count on top of it, the latest value of each field that is not
+    null first, until `compact` writes a new snapshot. Any Hadoop path will do.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -132,11 +136,39 @@ class SnapshotStore:
         A pointer to a snapshot that is not there, or was not finished, raises ValueError.
         """
         name = None if rebuild else self._latest()
-        if name is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        if not self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")):
+        if name is not None and not self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")):
             raise ValueError(f"{self.root}/LATEST names {name}, which is not a finished snapshot; load with rebuild=True to start anew")
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        base = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{name}") if name is not None else self.spark.createDataFrame([], SCHEMA)
+        deltas = [] if rebuild else [d for d in self._deltas() if d > (name or "")]
+        if not deltas:
+            return base
+        rows = None
+        for k, delta in enumerate(deltas):
+            part = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{delta}").withColumn("_n", F.lit(k))
+            rows = part if rows is None else rows.unionByName(part)
+        latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(c) for c in SCHEMA.names if c != "path"]
+        return upsert(base, rows.groupBy("path").agg(*latest), "path")
+
+    def _deltas(self) -> list[str]:
+        """Names of finished changes in order; they sort after the snapshot that they follow."""
+        folder = self._path(f"{self.root}")
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(n for n in names if "+" in n and self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
+
+    def append(self, changes: DataFrame, batch: int) -> str:
+        """Write changes (path and any other fields) of a numbered batch; a batch that comes again replaces itself."""
+        for c in SCHEMA.fields:
+            if c.name not in changes.columns:
+                changes = changes.withColumn(c.name, F.lit(None).cast(c.dataType))
+        name = f"{self._latest() or 'snapshot-0'}+{batch:012d}"
+        changes.select(*SCHEMA.names).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return name
+
+    def compact(self) -> str:
+        """One new snapshot of the present state; older folders stay for readers that still use them."""
+        return self.save(self.load())
 
     def save(self, index: DataFrame) -> str:
         name = f"snapshot-{time.time_ns()}"

@@ -63,11 +63,21 @@ def test_index_import(spark, tmp_path):
         assert index_json.read_index(spark, f"{tmp_path}/{name}.json", "/r").count() == 0
 
 
-def test_stream_upserts_index(spark, tmp_path):
+def test_stream_appends_to_index(spark, tmp_path):
     lib = tmp_path / "lib"
     lib.mkdir()
     store = index.SnapshotStore(spark, f"file://{tmp_path}/index")
-    for n in (1, 2):
-        (lib / f"{n}.cbz").write_bytes(b"x" * n)
+    store.save(spark.createDataFrame([("/old", "archive", 4)], "path string, kind string, page_count int").select(*[F.col(c.name) if c.name in ("path", "kind", "page_count") else F.lit(None).cast(c.dataType).alias(c.name) for c in index.SCHEMA]))
+    for n, name in enumerate(("1.cbz", "2.ZIP", "3.txt")):
+        (lib / name).write_bytes(b"x" * (n + 1))
         index_stream(spark, str(lib), store, str(tmp_path / "cp")).awaitTermination()
-    assert store.load().where(F.col("exact_hash").isNotNull()).count() == 2
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in store.load().collect()}
+    assert set(rows) == {"old", "1.cbz", "2.ZIP"} and rows["1.cbz"].exact_hash and rows["old"].page_count == 4
+    path = rows["1.cbz"].path
+    store.append(spark.createDataFrame([(path, 7)], "path string, page_count int"), 90)
+    store.append(spark.createDataFrame([(path, 8)], "path string, page_count int"), 91)
+    store.append(spark.createDataFrame([(path, 9)], "path string, page_count int"), 91)  # again
+    now = store.load().where(F.col("path") == path).first()
+    assert now.page_count == 9 and now.exact_hash == rows["1.cbz"].exact_hash
+    store.compact()
+    assert store.load().count() == 3 and store.load().where(F.col("path") == path).first().page_count == 9
