@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -88,3 +89,34 @@ def test_segment_tree_finds_tightest():
     tree.pop(9, 1)
     tree.pop(9, 1)
     assert tree.tightest(4) == 14
+
+
+def test_tokens_of_random_unicode_equal_the_whole_tokenizer():
+    """Texts of all kinds of characters, pieces that meet in one batch, and a cache that starts anew."""
+    from tokenizers import Tokenizer
+
+    from folioforge.llm import bfd_packing
+    from folioforge.llm.texthash import text_buffer
+
+    rng = random.Random(17)
+    ranges = [(32, 127), (32, 127), (97, 123), (160, 256), (0x100, 0x250), (0x300, 0x370), (0x370, 0x500), (0x5D0, 0x700), (0x900, 0xA00), (0x1E00, 0x2100), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0xFF00, 0xFFF0), (0x1F600, 0x1F650), (9, 14), (0x30, 0x3A)]
+    special = ["'s", "n't", "<|endoftext|>", "ß", "İ", "ﬁ", "\u200b", "\xa0", "\u3000", "1234567", "ÀÉ", "×÷", "Ω", "a\u0301"]
+
+    def word():
+        if rng.random() < 0.2:
+            return rng.choice(special)
+        low, high = rng.choice(ranges)
+        return "".join(chr(rng.randrange(low, high)) for _ in range(rng.randint(1, 8)))
+
+    texts = ["".join(word() + rng.choice(["", " ", "\n", "\t", "  "]) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    whole = Tokenizer.from_file(default_tokenizer())
+    want = [e.ids + [END_ID] for e in whole.encode_batch(texts, add_special_tokens=False)]
+    tokens = bfd_packing.WordTokens(default_tokenizer())
+    got = []
+    for at in range(0, len(texts), 100):
+        if at == 700:
+            tokens._reset()
+        ids, bounds = tokens.encode(*text_buffer(bfd_packing.pa.array(texts[at : at + 100])))
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    wrong = [k for k in range(len(texts)) if got[k] != want[k]]
+    assert not wrong, [(texts[k], got[k][:20], want[k][:20]) for k in wrong[:3]]
