@@ -79,9 +79,19 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def prefix_filter(df: DataFrame, column: str, bits: int = 20) -> np.ndarray:
-    """A filter of fixed size (2**bits flags) of the leading bits of a 64-bit column's values."""
-    top = df.select(F.shiftrightunsigned(F.col(column), 64 - bits).cast("int").alias("p")).distinct()
-    flags = np.zeros(1 << bits, bool)
-    flags[top.toArrow().column("p").to_numpy()] = True  # at most 2**bits rows
+PREFIX_BITS = 20
+
+
+def prefix_filter(df: DataFrame, column: str) -> np.ndarray:
+    """A filter of fixed size (2**PREFIX_BITS flags) of the leading bits of a binary column's values."""
+    top = F.conv(F.hex(F.substring(column, 1, 3)), 16, 10).cast("int")
+    found = df.select(F.shiftright(top, 24 - PREFIX_BITS).alias("p")).distinct()
+    flags = np.zeros(1 << PREFIX_BITS, bool)
+    flags[found.toArrow().column("p").to_numpy()] = True  # at most 2**PREFIX_BITS rows
     return flags
+
+
+def leading_bits(column: pa.Array) -> np.ndarray:
+    """The leading bits of binary values of one length, as `prefix_filter` has them."""
+    values = np.frombuffer(b"".join(v[:3] for v in column.to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+    return (values[:, 0] << 16 | values[:, 1] << 8 | values[:, 2]) >> (24 - PREFIX_BITS)

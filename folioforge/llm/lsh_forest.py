@@ -1,6 +1,6 @@
 """Join of documents whose word 5-gram sets have a Jaccard similarity of 0.8 or more, by an LSH forest.
 
-Documents of equal word sequences (128 bits of BLAKE2 say so) share a node.
+Documents of equal word sequences (128 bits of SHA-256 say so) share a node.
 
 1. Each node gets TREES labels of MAX_DEPTH MinHash values of 16 bits: a leaf in each of TREES prefix
    tries (Bawa, Condie, Ganesan: LSH Forest, WWW 2005).
@@ -29,18 +29,17 @@ names, are not read, or pass through `one_of_each`; an empty table gives no rows
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from .common import checkpoint_dir, stored, table
-from .grouping import by_key, pairs_within, prefix_filter, roots, starts, whole_groups
+from .grouping import by_key, leading_bits, pairs_within, prefix_filter, roots, starts, whole_groups
+from .lsm_dedup import BloomFilter
 from .texthash import _WORDS, Words, chunks, mix64, signed, text_buffer, window_hash
 
 SHINGLE = 5
@@ -77,17 +76,10 @@ def needed_depths(threshold: float, recall: float = RECALL) -> np.ndarray:
     return out
 
 
-def word_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of BLAKE2 of each document's words, joined by one space."""
-    size = words.end - words.start + 1
-    at = np.repeat(words.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    joined = words.buffer[np.minimum(at, max(len(words.buffer) - 1, 0))] if len(at) else np.zeros(0, np.uint8)
-    joined[np.cumsum(size) - 1] = 0x20
-    ends = np.concatenate([[0], np.cumsum(size)])[words.first]
-    raw = memoryview(joined)
-    digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-    both = np.frombuffer(digest, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+def words_key(text: Column) -> Column:
+    """128 bits of the SHA-256 of a text's words, joined by one space; of nothing for a null text."""
+    words = F.btrim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.substring(F.unhex(F.sha2(words, 256)), 1, 16)
 
 
 def _shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +131,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             byte = (values[:, :SKETCH] >> np.uint32(24)).astype(np.uint8)
             for k, i in enumerate(full.tolist()):
                 labels[i], sketch[i] = label[k].tobytes(), byte[k].tobytes()
-        one, two = word_keys(words)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(one), pa.array(two), pa.array(words.counts), pa.array(np.diff(bounds)), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary())],
-            names=["doc_id", "h1", "h2", "n_words", "n_shingles", "labels", "sketch"],
+            [batch.column("doc_id"), batch.column("key"), pa.array(words.counts), pa.array(np.diff(bounds)), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary())],
+            names=["doc_id", "key", "n_words", "n_shingles", "labels", "sketch"],
         )
 
 
@@ -245,8 +236,8 @@ def _pivoted(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     most = SKETCH - SKETCH_AGREE
     pivots = large.groupBy("tree", "bucket").agg(F.min_by(F.struct(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "node").alias("p")).select("tree", "bucket", "p.*")
     joined = large.join(pivots, ["tree", "bucket"])
-    schema = T.StructType([f for f in joined.schema.fields if f.name != "pivot_sketch"]).add("distance", T.IntegerType())
-    measured = stored(joined.mapInArrow(_distances, schema), "forest-pivots")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "pivot_sketch")
+    measured = stored(joined.mapInArrow(_distances, f"{schema}, distance int"), "forest-pivots")
     edges = measured.where((F.col("distance") <= most) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
     far = measured.where(F.col("distance") > most).groupBy("tree", "bucket").agg(F.min("distance").alias("nearest"))
     rest = measured.join(far, ["tree", "bucket"]).where(F.col("distance") >= F.col("nearest") - most).drop("n", "pivot", "distance", "nearest")
@@ -254,19 +245,18 @@ def _pivoted(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, rest.join(sizes, ["tree", "bucket"])
 
 
-def _sets(flags: np.ndarray, bits: int):
-    shift = np.uint64(64 - bits)
+def _sets(flags: np.ndarray):
+    """Shingle sets of the texts whose key may be wanted, one for each key of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = Words(*text_buffer(batch.column("text")))
-            one, two = word_keys(words)
-            wanted = np.flatnonzero(flags[(one.view(np.uint64) >> shift).astype(np.int64)] & (words.counts > 0))
-            _, first = np.unique(np.stack([one[wanted], two[wanted]], 1), axis=0, return_index=True)
-            wanted = wanted[first]
+            wanted = np.flatnonzero(flags[leading_bits(batch.column("key"))] & (words.counts > 0))
+            keys = batch.column("key").to_pylist()
+            wanted = np.array(sorted({keys[i]: i for i in reversed(wanted.tolist())}.values()), np.int64)
             shingles, bounds = _shingles(words)
             sets = [np.unique(shingles[bounds[i] : bounds[i + 1]]).tobytes() for i in wanted.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(one[wanted]), pa.array(two[wanted]), pa.array(sets, pa.binary())], names=["h1", "h2", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in wanted.tolist()], pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
     return run
 
@@ -337,7 +327,7 @@ def _in_blocks(df: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), words_key(F.col("text")).alias("key"))
 
 
 def _forest_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -360,53 +350,51 @@ def _forest_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFram
 
 
 def classified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, h1, h2 (its words' key), class_id, class_size, n_links, and whether it represents its class.
+    """One row per document: doc_id, key (of its words), class_id, class_size, n_links, and whether it represents its class.
 
     The representative is a document of the class's least doc_id; there, of the least key.
     """
     checkpoint_dir(docs.sparkSession)
     rows = _slim(docs)
-    schema = "doc_id long, h1 long, h2 long, n_words long, n_shingles long, labels binary, sketch binary"
+    schema = "doc_id long, key binary, n_words long, n_shingles long, labels binary, sketch binary"
     signed_docs = stored(rows.mapInArrow(_sign, schema), "forest")
     first = [F.first(c).alias(c) for c in ("n_words", "n_shingles", "labels", "sketch")]
-    nodes = signed_docs.where("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *first)
+    nodes = signed_docs.where("n_words > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *first)
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "forest-nodes")
 
     edges = stored(_forest_edges(nodes, threshold, recall), "forest-edges")
-    groups = stored(connected_components(edges).join(nodes.select("node", "h1", "h2", "copies", "n_words"), "node"), "forest-groups")
+    groups = stored(connected_components(edges).join(nodes.select("node", "key", "copies", "n_words"), "node"), "forest-groups")
 
-    sets = rows.mapInArrow(_sets(prefix_filter(groups, "h1"), 20), "h1 long, h2 long, shingles binary").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
+    sets = rows.mapInArrow(_sets(prefix_filter(groups, "key")), "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     load = groups.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_words") / SET_BLOCK), F.ceil(F.count(F.lit(1)) / NODE_BLOCK)).alias("blocks"))
-    placed = groups.join(load, "component").join(sets, ["h1", "h2"])
+    placed = groups.join(load, "component").join(sets, "key")
     placed = _in_blocks(placed, "component", "blocks").select("component", "i", "j", "block", "node", "copies", "shingles")
     checked = by_key(placed, "component", "i", "j", then=("node",))
     links = stored(checked.mapInArrow(_verify(threshold), "node long, root long, links long"), "forest-links")
 
     classes = connected_components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "h1", "h2", "least", "copies")
+    known = nodes.select("node", "key", "least", "copies")
     linked = classes.join(counted, "node").join(known, "node")
-    by_least = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("h1").alias("h1"), F.col("h2").alias("h2"))
+    by_least = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("least"), F.col("key").alias("key"))
     whole = linked.groupBy("component").agg(F.min(by_least).alias("rep"), F.sum("copies").alias("class_copies"))
     linked = linked.join(whole, "component").select("node", "links", "rep", "class_copies")
     known = known.join(linked, "node", "left")
     alone = F.col("links").isNull()
     known = known.select(
-        F.col("h1").alias("_h1"),
-        F.col("h2").alias("_h2"),
+        F.col("key").alias("_key"),
         F.when(alone, F.col("least")).otherwise(F.col("rep.least")).alias("class_id"),
         F.coalesce("class_copies", "copies").cast("long").alias("class_size"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-        (alone | ((F.col("h1") == F.col("rep.h1")) & (F.col("h2") == F.col("rep.h2")))).alias("in_rep"),
+        (alone | (F.col("key") == F.col("rep.key"))).alias("in_rep"),
     )
     known = known.where("class_size > 1")  # all others are alone
-    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_words") > 0)
-    out = signed_docs.select("doc_id", "h1", "h2", "n_words").join(known, same, "left")
+    same = (F.col("key") == F.col("_key")) & (F.col("n_words") > 0)
+    out = signed_docs.select("doc_id", "key", "n_words").join(known, same, "left")
     alone = F.col("class_size").isNull()
     return out.select(
         "doc_id",
-        "h1",
-        "h2",
+        "key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -419,37 +407,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     return classified(docs, threshold, recall).select("doc_id", "class_id", "class_size", "n_links")
 
 
-def _keyed(flags: np.ndarray, bits: int, maybe: bool):
-    """Rows whose words may be (or are not) among those that set the flags, with the words' key."""
-    shift = np.uint64(64 - bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            one, two = word_keys(Words(*text_buffer(batch.column("_text"))))
-            wanted = pa.array(np.flatnonzero(flags[(one.view(np.uint64) >> shift).astype(np.int64)] == maybe))
-            rows = pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(one), pa.array(two)], names=["_row", "_id", "_h1", "_h2"])
-            if len(wanted):
-                yield rows.take(wanted)
-
-    return run
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The input rows of the documents that represent their class, in all columns, one for each class.
 
     Rows are told apart by doc_id and words, so null and repeated ids lose nothing but near copies.
-    Only rows whose words may be in a class of several are shuffled.
+    Only rows whose words may be in a class of several are shuffled: a filter excludes the others.
     """
-    several = stored(classified(docs).where("class_size > 1").groupBy("doc_id", "h1", "h2").agg(F.max("represents").alias("represents")), "forest-classes")
-    flags = prefix_filter(several, "h1")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([rows.schema["_row"], T.StructField("_id", T.LongType()), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
-    clear, maybe = (rows.mapInArrow(_keyed(flags, 20, side), schema) for side in (False, True))
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2"))
-    met = maybe.join(several, same, "left")
+    several = classified(docs).where("class_size > 1").groupBy("doc_id", "key").agg(F.max("represents").alias("represents"))
+    several = stored(several, "forest-classes")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), words_key(F.col("text")).alias("_key"))
+    probed = BloomFilter(several, several.count(), "key").probe(rows, F.col("_key"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
+    met = probed.where("_maybe").join(several, same, "left")
     single = met.where("represents is null").select("_row")
-    kept = met.where("represents").groupBy("_id", "_h1", "_h2").agg(F.first("_row").alias("_row")).select("_row")
-    return clear.select("_row").unionByName(single).unionByName(kept).select("_row.*")
+    kept = met.where("represents").groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row")
+    return probed.where("not _maybe").select("_row").unionByName(single).unionByName(kept).select("_row.*")
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

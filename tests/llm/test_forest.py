@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -117,12 +118,11 @@ def test_ascent_joins_what_shares_long_enough_prefixes(seed):
     assert all((sketch[i] == sketch[j]).sum() >= lsh_forest.SKETCH_AGREE or full[i] == full[j] or got[i] == got[j] for i, j in zip(a.tolist(), b.tolist(), strict=True))
 
 
-def test_words_decide_a_node():
-    texts = ["a b  c", " a\tb c ", "a b", "ab c", "", None, "a b c d"]
-    words = lsh_forest.Words(*lsh_forest.text_buffer(lsh_forest.pa.array(texts)))
-    one, two = lsh_forest.word_keys(words)
-    want = [hashlib.blake2b((" ".join((t or "").split()) + " ").encode() if (t or "").split() else b"", digest_size=16).digest() for t in texts]
-    assert [np.array([x, y], np.int64).tobytes() for x, y in zip(one.tolist(), two.tolist(), strict=True)] == want
+def test_words_decide_a_node(spark):
+    texts = ["a b  c", " a\tb c ", "a b", "ab c", "", None, "a b c d", "\n", "é\x0bü", "a\x1fb"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", lsh_forest.words_key(lsh_forest.F.col("text")).alias("k")).collect()
+    want = [hashlib.sha256(" ".join(re.findall("[^ \t\n\v\f\r]+", t or "")).encode()).digest()[:16] for t in texts]
+    assert {r.i: bytes(r.k) for r in rows} == dict(enumerate(want))
 
 
 def test_measured_recall(spark):
