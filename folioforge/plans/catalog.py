@@ -19,7 +19,7 @@ from ..shipping import work_folder
 from ..sources import events, tree
 
 #: Thresholds of the embedding queries: the sign hashes of the tables lie about 32 bits apart.
-EMBEDDING_THRESHOLD, EMBEDDING_GOOD, EMBEDDING_RATIO = 23.0, 22, 0.75
+EMBEDDING_THRESHOLD, EMBEDDING_GOOD, EMBEDDING_RATIO = 24.25, 22, 0.5
 CREATOR_THRESHOLD, CREATOR_GOOD = 34, 33
 PAGES_IN_WORK = 8
 CHUNK = 200
@@ -284,20 +284,51 @@ _NAMES = f"""n AS (SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size,
   FROM part)"""
 
 
-def std_name(spark, sf_dir):
-    return _part_names(spark, sf_dir).select("p_partkey", X.standard_name(F.col("name")).alias("standard"))
-
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _title_sql(x: str) -> str:
+    """The first ASCII letter of each word in upper case, those after it in lower case; words end at spaces and underscores."""
+    word = r"regexp_extract(w, '^([^A-Za-z]*)([A-Za-z]?)', 1) || upper(regexp_extract(w, '^[^A-Za-z]*([A-Za-z]?)', 1)) || translate(substr(w, 1 + length(regexp_extract(w, '^[^A-Za-z]*[A-Za-z]?'))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"array_to_string(list_transform(string_split(u, '_'), lambda w: {word}), '_')"
+    return f"array_to_string(list_transform(string_split({x}, ' '), lambda u: {words}), ' ')"
+
+
+def _episode_sql(x: str, part: int) -> str:
+    """Prefix (1), number (2) or suffix (3) of the first episode pattern that fits; null if none does."""
+    patterns = [rf"(?i)^(.+?{m})([0-9]+)()$" for m in X.EPISODE_MARKERS] + [rf"^(.+{m})([0-9]+)()$" for m in (" ", "-", "#")] + ["^(.+第)([0-9]+)([话話集卷])$"]
+    cases = " ".join(f"WHEN regexp_matches({x}, '{p}') THEN regexp_extract({x}, '{p}', {part})" for p in patterns)
+    return f"CASE {cases} END"
+
+
+# The rules of standard names, one table a step: invalid characters and copy numbers, noise words, brackets and their
+# spacing, then the tags and the texts between them.
+_DELIMITED = r"\[[^\]]*\]|\([^)]*\)"
+_STEPS = rf"""s1 AS (SELECT *, trim(regexp_replace(regexp_replace(trim(raw), '[<>:"/\\|?*]', '', 'g'), '\(\s*[0-9]+\s*\)\s*$', '')) AS a FROM raw_names),
+s2 AS (SELECT *, regexp_replace(regexp_replace(a, '(?i)(?:^|\s)copy(?:\s|$)', ' ', 'g'), '(?i)(?:^|\s)duplicate(?:\s|$)', ' ', 'g') AS b FROM s1),
+s3 AS (SELECT *, translate(b, '{X.BRACKETS_FROM}', '{X.BRACKETS_TO}') AS c FROM s2),
+s4 AS (SELECT *, regexp_replace(regexp_replace(c, '([^(\[\s])([(\[])', '\1 \2', 'g'), '([)\]])([^)\](\[\s])', '\1 \2', 'g') AS d FROM s3),
+s5 AS (SELECT *, trim(regexp_replace(d, '\s+', ' ', 'g'), ' .') AS e FROM s4),
+s6 AS (SELECT *, string_split_regex(e, '{_DELIMITED}') AS texts, regexp_extract_all(e, '{_DELIMITED}') AS tags FROM s5),
+s7 AS (SELECT *, list_transform(tags, lambda g: struct_pack(o := g[1:1], t := trim(g[2:-2]), c := g[-1:])) AS found FROM s6),
+s8 AS (SELECT *, list_transform(found, lambda g: struct_pack(o := g.o, c := g.c, t := g.t, f := lower(g.t), s := lower(regexp_replace(g.t, '(?i)(?:\s+(?:version\.?|ver\.?|版))+$', '')))) AS keyed FROM s7),
+s9 AS (SELECT *, list_transform(keyed, lambda g: CASE WHEN g.t = '' THEN ' '
+    WHEN codes[g.f] IS NOT NULL THEN g.o || codes[g.f] || g.c WHEN codes[g.s] IS NOT NULL THEN g.o || codes[g.s] || g.c
+    WHEN list_contains({_sql_list(X.DROPPED_TAGS)}, g.f) OR list_contains({_sql_list(X.DROPPED_TAGS)}, g.s) OR regexp_matches(g.t, '{"|".join(X.TRANSLATOR_MARKERS)}') THEN ' '
+    ELSE g.o || g.s || g.c END) AS shown FROM s8, (SELECT MAP {{{", ".join(f"'{k}': '{v}'" for k, v in X.LANGUAGE_CODES.items())}}} AS codes)),
+s10 AS (SELECT *, array_to_string(list_transform(range(1, len(texts) + 1), lambda i: texts[i] || coalesce(shown[i], '')), '') AS f FROM s9),
+s11 AS (SELECT *, string_split_regex(f, '{_DELIMITED}') AS between_, regexp_extract_all(f, '{_DELIMITED}') AS kept FROM s10),
+s12 AS (SELECT *, list_transform(between_, lambda t: CASE WHEN trim(t) = '' THEN t ELSE regexp_extract(t, '^ *') || {_title_sql("trim(t)")} || regexp_extract(t, ' *$') END) AS titled FROM s11),
+s13 AS (SELECT *, trim(regexp_replace(array_to_string(list_transform(range(1, len(titled) + 1), lambda i: titled[i] || coalesce(kept[i], '')), ''), '\s+', ' ', 'g'), ' .') AS standard FROM s12)"""
+_STD_SQL = f"""WITH {_NAMES}, raw_names AS (SELECT *, '【' || p_brand || '】' || upper(p_name) || '(' || tag || ')' || {_title_sql("lower(p_type)")}
+  || CASE WHEN p_size % 5 = 0 THEN ' Copy (2)' WHEN p_size % 5 = 1 THEN '  duplicate  ' ELSE '' END AS raw FROM n),
+{_STEPS}
+SELECT p_partkey, CASE WHEN standard = '' THEN trim(raw) ELSE standard END AS standard FROM s13"""
 
-def _cased_sql(x: str) -> str:
-    """Title case of words that start with a letter, joined by single spaces."""
-    return f"list_aggregate(list_transform(string_split(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', ' ')"
 
-
-# The chain's outcome for these names, step by step: folded brackets, the tag's normal form or nothing,
-# title case outside the tags, "copy" and "duplicate" gone with their white space.
-_STD_SQL = f"""WITH {_NAMES},
-t AS (SELECT *, CASE WHEN p_size % 7 = 0 THEN '(eng)' WHEN p_size % 7 = 2 THEN '(chn)' WHEN p_size % 7 = 6 THEN '(fan club)' ELSE '' END AS shown FROM n)
-SELECT p_partkey, trim(regexp_replace('[' || lower(p_brand) || '] ' || {_cased_sql("p_name")} || ' ' || shown || ' ' || {_cased_sql("p_type")}, ' +', ' ', 'g')) AS standard FROM t"""
+def std_name(spark, sf_dir):
+    return _part_names(spark, sf_dir).select("p_partkey", X.standard_name(F.col("name")).alias("standard"))
 
 
 _STANDARD = f"""sn AS ({_STD_SQL}),
@@ -311,8 +342,7 @@ def episode_parse(spark, sf_dir):
 
 
 _PARSED = f"""{_NAMES},
-e AS (SELECT *, regexp_extract(episode_name, '^(.*?)([0-9]+)(話?)$', 1) AS prefix,
-  CASE WHEN length(p_type) % 8 = 6 THEN '話' ELSE '' END AS suffix, p_size AS episode FROM n)"""
+e AS (SELECT *, {_episode_sql("episode_name", 1)} AS prefix, {_episode_sql("episode_name", 3)} AS suffix, CAST({_episode_sql("episode_name", 2)} AS BIGINT) AS episode FROM n)"""
 
 
 def merge_names(spark, sf_dir):
@@ -323,6 +353,7 @@ def merge_names(spark, sf_dir):
 _RUNS = """r AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY {number}, {order} ROWS UNBOUNDED PRECEDING) AS run
   FROM (SELECT *, CASE WHEN {number} = 1 + lag({number}) OVER (PARTITION BY {keys} ORDER BY {number}, {order}) THEN 0 ELSE 1 END AS fresh FROM {table})),
 k AS (SELECT {keys}, run, min({number}) AS start, max({number}) AS "end", count(*) AS n FROM r GROUP BY {keys}, run HAVING count(*) >= 2)"""
+_ANY_TAG = "|".join(rf"\{a}[^\{b}]*\{b}" if a in "[(" else f"{a}[^{b}]*{b}" for a, b in X.TAG_PAIRS)
 _MERGED = f"""{_PARSED}, {_RUNS.format(keys="p_brand, prefix, suffix", number="episode", order="p_partkey", table="e")},
 mm AS (SELECT *, regexp_extract(prefix, '^(.*?)(_EP_|_Chapter_|_vol_|_episode_|[ #第-])$', 1) AS title, regexp_extract(prefix, '(_EP_|_Chapter_|_vol_|_episode_|[ #第-])$') AS mark FROM k),
 rk AS (SELECT p_brand, prefix, suffix, run, start, "end", n,
@@ -623,8 +654,10 @@ q AS (SELECT doc_id, group_id, CAST(row_number() OVER (PARTITION BY group_id ORD
         "episode_parse": f"WITH {_PARSED} SELECT p_partkey, episode_name, prefix, suffix, episode, printf('e%02d_%s', p_size, '001.jpg') AS page FROM e",
         "episode_runs": f"""WITH l AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS number, l_partkey, l_suppkey FROM lineitem),
 {_RUNS.format(keys="l_orderkey", number=number, order="l_partkey, l_suppkey", table="l")} SELECT l_orderkey, start, "end", n FROM k""",
-        "creator_tags": f"""WITH {_NAMES}, c AS (SELECT *, CASE WHEN p_size % 7 = 3 THEN 'raw' WHEN p_size % 7 = 6 THEN 'Fan Club' ELSE p_brand END AS creator FROM n)
-SELECT p_partkey, creator, p_name AS title, '[New] ' || p_name AS proposed FROM c""",
+        "creator_tags": rf"""WITH {_NAMES}, l AS (SELECT *, regexp_extract(tagged, '^\s*(?:(?:{_ANY_TAG})\s*)*') AS run FROM n),
+t AS (SELECT *, list_transform(regexp_extract_all(run, '{_ANY_TAG}'), lambda g: trim(g[2:-2])) AS tags, trim(substr(tagged, 1 + length(run))) AS rest FROM l),
+u AS (SELECT *, CASE WHEN list_position(tags, '') > 0 THEN tags[:list_position(tags, '') - 1] ELSE tags END AS searched, CASE WHEN rest = '' THEN trim(tagged) ELSE rest END AS title FROM t)
+SELECT p_partkey, list_filter(searched, lambda g: NOT regexp_matches(lower(g), '{"|".join(X.METADATA_MARKERS)}'))[1] AS creator, title, '[New] ' || title AS proposed FROM u""",
         "classify_scores": f"WITH {_SCORES} SELECT * FROM sc",
         "classify_suggest": _SUGGEST,
         "index_hits": f"""WITH {_INDEX} SELECT wk.doc_id, coalesce(ix.fp = wk.fingerprint AND ix.exact_hash IS NOT NULL, false) AS is_hit,
