@@ -164,7 +164,7 @@ def letter_pairs(words):
 def test_score_equals_bit_by_bit():
     """The score of texts from plain loops over their code bits, with exact logistic functions."""
     rng = random.Random(3)
-    texts = ["".join(text(rng, rng.choice(list(SYLLABLES)), 30)) for _ in range(60)]
+    texts = ["".join(text(rng, rng.choice(list(SYLLABLES)), 30)) for _ in range(60)] + [text(rng, "en", 900)]
     words_of = [t.lower().split() for t in texts]
     words = cm.Words(*cm.text_buffer(cm.pa.array([" ".join(w) for w in words_of])))
     hashes, counts = np.unique(words.hash, return_counts=True)
@@ -190,7 +190,7 @@ def test_score_equals_bit_by_bit():
         for kind, outcomes in enumerate((bits, spelled)):
             at = int(streams[kind][0][:i].sum())
             assert (streams[kind][1][at : at + len(outcomes)] & 1).tolist() == outcomes
-            own, pull = np.zeros(3), []
+            own, pull, blocks = np.zeros(3), [], 0
             for k, bit in enumerate(outcomes):
                 cell = [int(t[s[at + k]]) for t, s in zip(mixer.cells[kind], streams[kind][2], strict=True)]
                 x = np.array([(c >> 2) / 4 - 7.875 for c in cell])
@@ -199,8 +199,8 @@ def test_score_equals_bit_by_bit():
                 final = (mixed + float(mixer.refined[depth, int((mixed + 8.25) * 2)])) / 2
                 total += math.log2(1 + math.exp(-final if bit else final))
                 pull.append((bit - 1 / (1 + math.exp(-mixed))) * x)
-                if len(pull) == cm.BLOCK:
-                    own, pull = own + cm.RATE / (len(pull) + 64) * np.sum(pull, 0), []
+                if len(pull) == cm.BLOCK * (1 + blocks // cm.GROW):
+                    own, pull, blocks = own + cm.RATE / (len(pull) + 64) * np.sum(pull, 0), [], blocks + 1
         assert abs(got[i] / total - 1) < 0.02, (got[i], total)
 
 
