@@ -10,7 +10,9 @@ The automata are not broadcast: those of a whole corpus have no size bound, and
 against every shard is quadratic. Anchors send each context to the one shard that can match it.
 
 Defined cases: null text has no words; a null id is larger than any id; rows that repeat id and
-text, and ids that come with several texts, do not remove each other; an empty table gives no rows.
+text, and ids that come with several texts, do not remove each other; texts may be as long as a row
+can be; a text under `width` words stays whole; other columns, whatever their names, are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ to shards (`repeats`); in a shard the contexts lie in document order, their wind
 suffix order to the depth of a window, and the previous and next smaller positions of each in that
 order give the longest earlier match. The first occurrence always stays.
 
-Defined cases: null text counts as empty; a null id is last in order; rows that repeat id and text
-are one document and get the same result; an empty table gives no rows.
+Defined cases: null text counts as empty; a null id is last in order (of texts without an id, and of
+several texts of one id, the order is that of a hash of the text); rows that repeat id and text are
+one document and get the same result; texts may be as long as a row can be; a text under `width`
+bytes stays whole; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -327,14 +327,16 @@ def _window_spans(spec: Spec):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, h, text): the id, null last, and the text's hash, which tells apart the texts of one id."""
+    """(doc_id, d, h, text): d is the id, null last, and h the text's hash, which tells apart the texts of one id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    own = F.col(id_col).cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(LAST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def repeated_spans(base: DataFrame, spec: Spec, engine: Callable) -> DataFrame:
     """(d, h, span) of all windows that start earlier; span is start << 24 | length."""
     ship(base.sparkSession)
+    base = base.select("d", "h", "text")
     anchors = base.mapInArrow(_anchors(spec), "f long, c long, d long, h long, at long")
     labelled = stored(by_key(anchors, "f", then=("c", "d", "h", "at")).mapInArrow(_label(spec), "f long, d long, h long, at long, open boolean"), "anchors")
     spans = "d long, h long, span long"
@@ -377,11 +379,9 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _rewrite(finish: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            d = batch.column("d").to_numpy()
             spans = batch.column("spans")
             rows = [finish(text or "", merged(np.array(s, np.int64)) if s else None) for text, s in zip(batch.column("text").to_pylist(), spans.to_pylist(), strict=True)]
-            ids = pa.array(d, mask=d == LAST)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in zip(*rows, strict=True))], names=["doc_id", *finish.names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in zip(*rows, strict=True))], names=["doc_id", *finish.names])
 
     return run
 
@@ -389,7 +389,7 @@ def _rewrite(finish: Callable):
 def rewritten(base: DataFrame, spans: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """One row per document from its text and its repeated spans."""
     per_doc = spans.groupBy("d", "h").agg(F.collect_list("span").alias("spans"))
-    return base.join(per_doc, ["d", "h"], "left").select("d", "text", "spans").mapInArrow(_rewrite(finish), schema)
+    return base.join(per_doc, ["d", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_rewrite(finish), schema)
 
 
 def sha256(data: bytes) -> str:

@@ -113,6 +113,13 @@ def test_many_texts_of_one_id_and_of_none(spark, monkeypatch, hot):
     assert named(automaton_dedup.remove_repeats(docs).collect()) == brute_words(brute, 50)
 
 
+def test_the_largest_id_is_no_null(spark):
+    words = [f"word{i}" for i in range(60)]
+    docs = spark.createDataFrame([(3, " ".join(words)), ((1 << 63) - 1, "x " + " ".join(words)), (None, "y " + " ".join(words))], "doc_id long, text string")
+    for remove in (lpf_dedup.remove_repeats, automaton_dedup.remove_repeats):
+        assert {r.doc_id: r.n_removed > 0 for r in remove(docs).collect()} == {3: False, (1 << 63) - 1: True, None: True}
+
+
 def test_previous_factors_of_one_text():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 3000).astype(np.uint8)
