@@ -129,3 +129,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(array_slice(b, i, i + 99)) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d)),
+f AS (SELECT h, min({'d': doc_id, 'i': i}) AS m FROM w GROUP BY h),
+r AS (SELECT w.doc_id, w.i FROM w JOIN f USING (h) WHERE w.doc_id <> f.m.d OR w.i <> f.m.i),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS z FROM g GROUP BY doc_id, k),
+l AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM s GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE list_reduce(list_transform(range(1, n_spans + 2),
+    lambda k: array_slice(b, coalesce(ends[k - 1], 0) + 1, coalesce(starts[k], octet_length(b) + 1) - 1)), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""

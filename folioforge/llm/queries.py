@@ -25,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_pareto_mix": pareto_mix.OP2_SQL,
         "op3_lsm_exact_dedup": lsm_dedup.OP3_SQL,
         "op5_norm_bucket_topk": norm_topk.OP5_SQL,
+        "op7_lpf_byte_dedup": lpf_dedup.OP7_SQL,
         "op9_automaton_word_dedup": automaton_dedup.OP9_SQL,
         "op10_lsh_forest_join": lsh_forest.OP10_SQL,
     }
