@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import stored, table
-from .texthash import Words, chunks, lower_ascii, span_hash, text_buffer
+from .texthash import Words, chunks, lower_ascii, span_hash, text_buffer, trimmed
 
 WINDOW = 2048
 END_ID = 1
@@ -172,7 +172,7 @@ def _pieces(tokenizer_file: str, window: int):
         tokens = WordTokens(tokenizer_file)
         task = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=1 << 20):
             buffer, offsets = text_buffer(batch.column("text"))
             ids, bounds = tokens.encode(buffer, offsets)
             n = np.diff(bounds)
@@ -191,7 +191,7 @@ def _pieces(tokenizer_file: str, window: int):
             who = batch.column("doc_id").take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([who, *map(pa.array, (start, length, crc, n[doc])), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"])
 
-    return run
+    return trimmed(run)
 
 
 class OpenWindows:
@@ -275,7 +275,7 @@ def _place(plan: np.ndarray, window: int):
             columns = [batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return run
+    return trimmed(run)
 
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import fold, table
 from .features import hashed_counts, randomized_svd, unit_rows
-from .texthash import Words, chunks, text_buffer
+from .texthash import Words, chunks, text_buffer, trimmed
 
 BITS = 12
 RANK = 64
@@ -50,8 +50,9 @@ def counts(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([grams, REPEAT_WEIGHT * np.sqrt(np.stack(again, 1)).astype(np.float32)], 1)
 
 
+@trimmed
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, rows=512):
+    for batch in chunks(batches, limit=1 << 20, rows=256):
         x = counts(*text_buffer(batch.column("text"))).astype(np.float16)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
@@ -97,11 +98,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbour
 
 def _score(model: NeighbourModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, rows=512):
+        for batch in chunks(batches, limit=1 << 20, rows=256):
             score = model.score(counts(*text_buffer(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def score(docs: DataFrame, model: NeighbourModel) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from .common import fold, table
 from .features import hashed_counts, linear_svm, unit_rows
-from .texthash import chunks, text_buffer
+from .texthash import chunks, text_buffer, trimmed
 
 BITS = 12
 SAMPLE = 2000
@@ -42,8 +42,9 @@ def vectors(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return unit_rows(np.sqrt(hashed_counts(buffer, offsets, GRAMS, BITS)))
 
 
+@trimmed
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, rows=512):
+    for batch in chunks(batches, limit=1 << 20, rows=256):
         x = vectors(*text_buffer(batch.column("text"))).astype(np.float16)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
@@ -133,7 +134,7 @@ def _predict(model: HierarchicalModel):
     names = np.array([*model.langs, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, rows=512):
+        for batch in chunks(batches, limit=1 << 20, rows=256):
             letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
             if model.langs:
                 best, score = model.predict(vectors(*text_buffer(batch.column("text"))))
@@ -145,7 +146,7 @@ def _predict(model: HierarchicalModel):
             kept = [n for n in batch.schema.names if n != "_letter"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "_lang_pred", "_lang_score"])
 
-    return run
+    return trimmed(run)
 
 
 def predict(docs: DataFrame, model: HierarchicalModel) -> DataFrame:

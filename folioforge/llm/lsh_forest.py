@@ -40,7 +40,7 @@ from ..operators.components import connected_components
 from .common import checkpoint_dir, stored, table
 from .grouping import by_key, leading_bits, pairs_within, prefix_filter, roots, starts, whole_groups
 from .lsm_dedup import BloomFilter
-from .texthash import _WORDS, Words, chunks, mix64, signed, text_buffer, window_hash
+from .texthash import _WORDS, Words, chunks, mix64, signed, text_buffer, trimmed, window_hash
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -119,6 +119,7 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarr
     return out
 
 
+@trimmed
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         words = Words(*text_buffer(batch.column("text")))
@@ -214,9 +215,10 @@ def _meet(shortest: int):
                 moved = np.flatnonzero(root != np.arange(len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["src", "dst"])
 
-    return run
+    return trimmed(run)
 
 
+@trimmed
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add how many places of a row's sketch differ from its pivot's."""
     for batch in batches:
@@ -258,7 +260,7 @@ def _sets(flags: np.ndarray):
             sets = [np.unique(shingles[bounds[i] : bounds[i + 1]]).tobytes() for i in wanted.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in wanted.tolist()], pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return run
+    return trimmed(run)
 
 
 def linked_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +318,7 @@ def _verify(threshold: float):
             if out_node:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_node, out_root, out_links)], names=["node", "root", "links"])
 
-    return run
+    return trimmed(run)
 
 
 def _in_blocks(df: DataFrame, key: str, blocks: str) -> DataFrame:

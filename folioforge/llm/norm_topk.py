@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import stored, table
+from .texthash import trimmed
 
 BLOCK = 1 << 14
 ROUND = 8
@@ -149,7 +150,7 @@ def _search(ids: np.ndarray, vectors: np.ndarray, k: int):
                 state.add(batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("v")))
         yield pa.RecordBatch.from_arrays([pa.array(ids[state.best_q]), pa.array(state.best_id), pa.array(state.best_score)], names=["query_id", "vec_id", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:

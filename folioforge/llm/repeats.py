@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import stored
 from .grouping import by_key, whole_groups
-from .texthash import _WORDS, Words, byte_values, chunks, mix64, signed, text_buffer, window_hash
+from .texthash import _WORDS, Words, byte_values, chunks, mix64, signed, text_buffer, trimmed, window_hash
 
 #: Open contexts of one anchor that one shard takes at most, and contexts of a shard: an automaton
 #: holds far more for each of its units than a suffix order does.
@@ -129,7 +129,7 @@ def _anchors(spec: Spec):
             place = np.where(again, place | DECIDED, place)
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c), pa.array(d), pa.array(h), pa.array(place)], names=["f", "c", "d", "h", "at"])
 
-    return run
+    return trimmed(run)
 
 
 def _came_before(f: np.ndarray, c: np.ndarray, d: np.ndarray, h: np.ndarray, at: np.ndarray, own: bool) -> np.ndarray:
@@ -216,7 +216,7 @@ def _label(spec: Spec):
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(4)), pa.array(np.full(len(rows), flag))], names=["f", "d", "h", "at", "open"])
 
-    return run
+    return trimmed(run)
 
 
 def _cut(spec: Spec):
@@ -244,7 +244,7 @@ def _cut(spec: Spec):
             d, h = (pa.array(batch.column(c).to_numpy()[doc]) for c in ("d", "h"))
             yield pa.RecordBatch.from_arrays([pa.array(f), d, h, pa.array(at), pa.array(hot), context], names=["f", "d", "h", "at", "hot", "context"])
 
-    return run
+    return trimmed(run)
 
 
 def span_rows(d: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -257,7 +257,7 @@ def _decided(spec: Spec):
             start, more = unpack(batch.column("at").to_numpy())
             yield span_rows(batch.column("d").to_numpy(), batch.column("h").to_numpy(), start, start + more + spec.width)
 
-    return run
+    return trimmed(run)
 
 
 def _shards(spec: Spec, engine: Callable):
@@ -268,7 +268,7 @@ def _shards(spec: Spec, engine: Callable):
             row, window = engine(table.column("context").combine_chunks(), d, at, spec)
             yield span_rows(d[row], h[row], start[row] + window, start[row] + window + spec.width)
 
-    return run
+    return trimmed(run)
 
 
 def _recut(spec: Spec):
@@ -292,7 +292,7 @@ def _recut(spec: Spec):
             key = signed(mix64(mix64(f.view(np.uint64)) ^ anchor))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(signed(context)), pa.array(d), pa.array(h), pa.array(pack(start + at, more)), pieces], names=["f", "c", "d", "h", "at", "context"])
 
-    return run
+    return trimmed(run)
 
 
 def _windows(spec: Spec):
@@ -311,7 +311,7 @@ def _windows(spec: Spec):
                     [pa.array(signed(one)), pa.array(signed(two)), pa.array(np.full(len(one), d[k])), pa.array(np.full(len(one), h[k])), pa.array(pack(place, np.zeros(len(one), np.int64)))], names=["f", "c", "d", "h", "at"]
                 )
 
-    return run
+    return trimmed(run)
 
 
 def _window_spans(spec: Spec):
@@ -323,7 +323,7 @@ def _window_spans(spec: Spec):
                 start, _ = unpack(later[:, 3])
                 yield span_rows(later[:, 1], later[:, 2], start, start + spec.width)
 
-    return run
+    return trimmed(run)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -383,7 +383,7 @@ def _rewrite(finish: Callable):
             rows = [finish(text or "", merged(np.array(s, np.int64)) if s else None) for text, s in zip(batch.column("text").to_pylist(), spans.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in zip(*rows, strict=True))], names=["doc_id", *finish.names])
 
-    return run
+    return trimmed(run)
 
 
 def rewritten(base: DataFrame, spans: DataFrame, finish: Callable, schema: str) -> DataFrame:

@@ -6,7 +6,10 @@ string is made. Words are maximal runs of bytes other than space and 0x09-0x0D.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +98,26 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             start = end
 
 
+def trimmed(run: Callable) -> Callable:
+    """The function of a Python stage, which gives memory back to the system when its task ends.
+
+    Workers wait for further tasks, and what they hold meanwhile counts against the executor.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it needs no trimming
+        ctypes.CDLL(None).malloc_trim(ctypes.c_size_t(0))
+
+
 def lower_ascii(buffer: np.ndarray) -> np.ndarray:
     return _LOWER[buffer]
 
