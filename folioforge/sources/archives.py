@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import natural_key
 from ..shipping import ship
+from .images import png_grey
 from .tree import JUNK_NAMES, PAGE_SUFFIXES
 
 MEMBERS = "work string, page_no int, page_name string, length long, width int, height int, sha256 string, phash long"
@@ -63,11 +64,11 @@ def dimensions(data: bytes) -> tuple[int | None, int | None]:
 
 
 def decode_grey(data: bytes) -> np.ndarray | None:
-    """Grey values of an image, if an image library is installed and can read it."""
+    """Grey values of an image: of a plain PNG always, of others if an image library is installed and can read it."""
     try:
         from PIL import Image
     except ImportError:
-        return None
+        return png_grey(data)
     try:
         return np.asarray(Image.open(io.BytesIO(data)).convert("L"), float)
     except Exception:  # noqa: BLE001 - any unreadable page is skipped, not its work

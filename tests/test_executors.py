@@ -6,11 +6,12 @@ import random
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import actions, convert, exact, index, runs
-from folioforge.sources import archives, events, index_json, tree
+from folioforge.sources import archives, events, images, index_json, tree
 
 from .test_sources import png
 
@@ -232,3 +233,56 @@ def test_log(spark, tmp_path):
         events.write_log(frame, str(tmp_path / "log"))
     assert sorted({r.value for r in spark.read.text(str(tmp_path / "log")).collect()}) == ["2024-05-06 07:08:09 [INFO] a: ", "2024-05-06 07:08:09 [WARNING] a.b: two lines"]
     assert spark.read.text(str(tmp_path / "log")).count() == 4
+
+
+def filtered_png(pixels, colour, kinds):
+    """A PNG whose rows use the given filters in turn."""
+    import zlib
+
+    height, width, channels = pixels.shape
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    body, above = b"", np.zeros(width * channels, int)
+    for y in range(height):
+        row, kind = pixels[y].reshape(-1).astype(int), kinds[y % len(kinds)]
+        left = np.concatenate([np.zeros(channels, int), row[:-channels]])
+        corner = np.concatenate([np.zeros(channels, int), above[:-channels]])
+        near = left + above - corner
+        order = np.stack([abs(near - left), abs(near - above), abs(near - corner)])
+        guess = [0 * row, left, above, (left + above) // 2, np.choose(order.argmin(0), [left, above, corner])][kind]
+        body += bytes([kind]) + bytes(((row - guess) % 256).tolist())
+        above = row
+    head = struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("colour,channels", [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_png_decoder(colour, channels):
+    pixels = np.random.default_rng(colour).integers(0, 256, (23, 17, channels)).astype(np.uint8)
+    got = images.png_grey(filtered_png(pixels, colour, [0, 1, 2, 3, 4]))
+    want = pixels[:, :, 0] if channels < 3 else pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114])
+    assert np.allclose(got, want)
+    assert images.png_grey(b"no image") is None and images.png_grey(filtered_png(pixels, colour, [0])[:60]) is None
+
+
+def test_signatures_of_folders(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    pages = [rng.integers(0, 256, (8, 8, 1)).repeat(6, 0).repeat(6, 1).astype(np.uint8) for _ in range(15)]
+    for work, shift in (("a b+c", 0), ("copy", 3)):
+        (tmp_path / work).mkdir()
+        for k, p in enumerate(pages):
+            (tmp_path / work / f"{k + 1}.png").write_bytes(filtered_png(np.clip(p.astype(int) + shift, 0, 255).astype(np.uint8), 0, [4]))
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken/1.png").write_bytes(b"x")
+    numbered = tree.numbered_pages(tree.folder_pages(tree.list_tree(spark, str(tmp_path))))
+    found = images.read_images(spark, str(tmp_path))
+    assert {r.path for r in found.collect()} == {str(p) for p in tmp_path.rglob("*.png")} - {str(tmp_path / "broken/1.png")}
+    got = {r.work.rsplit("/", 1)[-1]: r for r in images.folder_signatures(numbered, found, 5).collect()}
+    assert len(got["a b+c"].signature) == 5 and got["a b+c"].page_count == 15 and got["broken"].signature == []
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 6 for a, b in zip(got["a b+c"].signature, got["copy"].signature, strict=True))
+    # Spark's reader and our own decoder agree.
+    one = (tmp_path / "copy/3.png").read_bytes()
+    mine = archives.perceptual_hash(images.png_grey(one))
+    assert images.hashed_images(found).where(F.col("path") == str(tmp_path / "copy/3.png")).first().phash == mine
