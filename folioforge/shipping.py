@@ -30,8 +30,15 @@ def work_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of rows that Python stages get at a time, where the session leaves Spark's own 64 MB: texts may be long.
+BATCH_BYTES = "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's files to the executors, once for each application."""
+    """Send the package's files to the executors, once for each application, and bound the batches of Python stages."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("67108864b", "64m"):
+        spark.conf.set(key, BATCH_BYTES)
     package = Path(__file__).resolve().parent
     context = spark.sparkContext
     paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
