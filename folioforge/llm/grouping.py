@@ -91,7 +91,7 @@ def prefix_filter(df: DataFrame, column: str) -> np.ndarray:
     return flags
 
 
-def leading_bits(column: pa.Array) -> np.ndarray:
-    """The leading bits of binary values of one length, as `prefix_filter` has them."""
-    values = np.frombuffer(b"".join(v[:3] for v in column.to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+def leading_bits(keys: list[bytes]) -> np.ndarray:
+    """The leading bits of binary values, as `prefix_filter` has them."""
+    values = np.frombuffer(b"".join(k[:3] for k in keys), np.uint8).reshape(-1, 3).astype(np.int64)
     return (values[:, 0] << 16 | values[:, 1] << 8 | values[:, 2]) >> (24 - PREFIX_BITS)

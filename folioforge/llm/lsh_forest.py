@@ -29,6 +29,7 @@ names, are not read, or pass through `one_of_each`; an empty table gives no rows
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +77,17 @@ def needed_depths(threshold: float, recall: float = RECALL) -> np.ndarray:
     return out
 
 
+def word_keys(words: Words) -> list[bytes]:
+    """128 bits of the SHA-256 of each document's words, joined by one space; `words_key` has the same in the JVM."""
+    size = words.end - words.start + 1
+    at = np.repeat(words.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    joined = words.buffer[np.minimum(at, len(words.buffer) - 1)] if len(at) else np.zeros(0, np.uint8)
+    joined[np.cumsum(size) - 1] = 0x20
+    first = np.concatenate([[0], np.cumsum(size)])[words.first].tolist()
+    raw = memoryview(joined)
+    return [hashlib.sha256(raw[a : max(a, b - 1)]).digest()[:16] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
 def words_key(text: Column) -> Column:
     """128 bits of the SHA-256 of a text's words, joined by one space; of nothing for a null text."""
     words = F.btrim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -133,7 +145,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, i in enumerate(full.tolist()):
                 labels[i], sketch[i] = label[k].tobytes(), byte[k].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(words.counts), pa.array(np.diff(bounds)), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary())],
+            [batch.column("doc_id"), pa.array(word_keys(words), pa.binary()), pa.array(words.counts), pa.array(np.diff(bounds)), pa.array(labels, pa.binary()), pa.array(sketch, pa.binary())],
             names=["doc_id", "key", "n_words", "n_shingles", "labels", "sketch"],
         )
 
@@ -253,8 +265,8 @@ def _sets(flags: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = Words(*text_buffer(batch.column("text")))
-            wanted = np.flatnonzero(flags[leading_bits(batch.column("key"))] & (words.counts > 0))
-            keys = batch.column("key").to_pylist()
+            keys = word_keys(words)
+            wanted = np.flatnonzero(flags[leading_bits(keys)] & (words.counts > 0))
             wanted = np.array(sorted({keys[i]: i for i in reversed(wanted.tolist())}.values()), np.int64)
             shingles, bounds = _shingles(words)
             sets = [np.unique(shingles[bounds[i] : bounds[i + 1]]).tobytes() for i in wanted.tolist()]
@@ -329,7 +341,7 @@ def _in_blocks(df: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), words_key(F.col("text")).alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _forest_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:

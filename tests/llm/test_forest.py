@@ -123,6 +123,8 @@ def test_words_decide_a_node(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", lsh_forest.words_key(lsh_forest.F.col("text")).alias("k")).collect()
     want = [hashlib.sha256(" ".join(re.findall("[^ \t\n\v\f\r]+", t or "")).encode()).digest()[:16] for t in texts]
     assert {r.i: bytes(r.k) for r in rows} == dict(enumerate(want))
+    assert lsh_forest.word_keys(lsh_forest.Words(*lsh_forest.text_buffer(lsh_forest.pa.array(texts)))) == want
+    assert lsh_forest.word_keys(lsh_forest.Words(*lsh_forest.text_buffer(lsh_forest.pa.array(["", None])))) == [hashlib.sha256(b"").digest()[:16]] * 2
 
 
 def test_measured_recall(spark):
