@@ -137,9 +137,12 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     key, cut = F.struct(*_KEY), F.struct(*[F.col(f"_cut{c}").alias(c) for c in _KEY])
     tied = F.coalesce((key == cut) & (F.col("_take") > 0) & (F.col("_take") < F.col("_ties")), F.lit(False))
     before = F.col("_q").isNotNull() & (F.col("_cut_q").isNull() | (key < cut) | ((key == cut) & (F.col("_take") == F.col("_ties"))))
-    plain = marked.where(~tied).withColumn("_extra", F.coalesce(before, F.lit(False)).cast("long"))
-    ties = _numbered_ties(marked.where(tied)).withColumn("_extra", (F.col("_nth") <= F.col("_take")).cast("long")).drop("_nth")
-    out = plain.unionByName(ties)
+    extra = F.coalesce(before, F.lit(False)).cast("long")
+    if cuts.where("_take > 0 and _take < _ties").limit(1).count():  # some of equal rows are taken
+        ties = _numbered_ties(marked.where(tied)).withColumn("_extra", (F.col("_nth") <= F.col("_take")).cast("long")).drop("_nth")
+        out = marked.where(~tied).withColumn("_extra", extra).unionByName(ties)
+    else:
+        out = marked.withColumn("_extra", extra)
     copies = (F.col("_certain") + F.col("_extra")).cast("long")
     out = out.withColumn("copies", copies).withColumn("taken", (copies * F.col("size")).cast("long"))
     return out.select(*rows.columns, "source_size", "target", "copies", "taken")
