@@ -18,7 +18,7 @@ Counts come from all training documents: tasks send their count tables, which ar
 ranges. The table of hashed word contexts doubles with the training tokens, from 2**LEAST_SLOT_BITS
 to 2**MOST_SLOT_BITS slots, so what is broadcast has a bound while what is gathered grows with the
 input. The mixing weights and the map are fitted on all training documents as they are counted: a
-chunk's bits are predicted from what its task counted before, and every STRIDE-th of them adds to a
+chunk's bits are predicted from what its task counted before, and every one of them adds to a
 table of fixed size (how often a weight set met rounded predictions and an outcome), which is summed.
 So weights depend a little on how the input is split. The byte codes are those of all training words.
 
@@ -33,6 +33,7 @@ names, are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -65,7 +66,11 @@ RANGE = 1 << 16
 FAN_IN = 256
 #: Steps of a prediction in the table that the weights are fitted on: -8 to 8 by GRADE.
 GRADES, GRADE = 11, 1.6
-STRIDE = 16
+#: Of so many bits one is fitted on: all are.
+STRIDE = 1
+#: Bits that are fitted on at a time, and counts below which grades and levels are looked up.
+FIT_BITS = 1 << 16
+SMALL_COUNT = 256
 SETS = 2 * DEPTHS * 9
 #: Kinds of counts.
 WORD_COUNT, END_COUNT, BYTE_COUNT = 0, 1, 2
@@ -344,13 +349,39 @@ def _grade(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.clip(x, -8, 8) / np.float32(GRADE) + np.float32(GRADES / 2)).astype(np.int64)
 
 
+@functools.cache
+def _small() -> tuple[np.ndarray, np.ndarray]:
+    """Grade and level of counts below SMALL_COUNT, at ones * SMALL_COUNT + zeros."""
+    ones, zeros = (x.astype(np.float32) for x in np.divmod(np.arange(SMALL_COUNT**2), SMALL_COUNT))
+    return _grade(zeros, ones).astype(np.uint8), _level(zeros + ones).astype(np.uint8)
+
+
+def _met(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grades and levels of zeros and ones (uint32) that lie side by side."""
+    grade, level = _small()
+    zeros, ones = (pairs.view(np.uint32)[k::2] for k in range(2))
+    small = (zeros | ones) < SMALL_COUNT
+    at = ones * np.uint32(SMALL_COUNT)
+    at += zeros
+    at *= small
+    out, seen = grade.take(at), level.take(at)
+    rest = np.flatnonzero(~small)
+    if len(rest):
+        out[rest] = _grade(zeros[rest].astype(np.float32), ones[rest].astype(np.float32))
+        seen[rest] = 2
+    return out, seen
+
+
 class Counter:
     """A task's count tables, and how often each weight set met rounded predictions and an outcome."""
 
     def __init__(self, coder: Coder):
         self.coder = coder
         self.tables = [[np.zeros(2 * n, np.uint32) if kind or k else None for k, n in enumerate(sizes)] for kind, sizes in enumerate(coder.sizes)]
-        self.alone = coder.code.totals(coder.weight).astype(np.float32)
+        # The node's counts are known in full: the bit's own occurrence is taken off.
+        alone = coder.code.totals(coder.weight).astype(np.float32)
+        taken = [np.maximum(alone - np.eye(2, dtype=np.float32)[bit], 0) for bit in range(2)]
+        self.own_grade = np.stack([_grade(x[:, 0], x[:, 1]) for x in taken], 1).astype(np.uint8).reshape(-1)
         self.met = np.zeros(SETS * GRADES**PREDICTORS * 2, np.int64)
         self.held: list[np.ndarray] = []
 
@@ -358,25 +389,30 @@ class Counter:
         for kind, (_, low, slots) in enumerate(streams):
             if not len(low):
                 continue
-            bit, some = low & 1, slice(None, None, STRIDE)
-            self._fit(kind, (low[some] >> 1).astype(np.int64), bit[some].astype(np.int64), [s[some] for s in slots])
+            bit = low & 1
+            for first in range(0, len(low), FIT_BITS):
+                some = slice(first, first + FIT_BITS, STRIDE)
+                self._fit(kind, low[some], [s[some] for s in slots])
             for table_, slot in zip(self.tables[kind], slots, strict=True):
                 if table_ is not None:
                     at = slot * 2
                     at += bit
                     np.add.at(table_, at, np.uint32(1))
 
-    def _fit(self, kind: int, depth: np.ndarray, bit: np.ndarray, slots: list[np.ndarray]) -> None:
-        grades, levels = [], []
-        for table_, slot in zip(self.tables[kind], slots, strict=True):
-            pair = (self.alone if table_ is None else table_.reshape(-1, 2)).take(slot, 0).astype(np.float32, copy=False)
-            zeros, ones = pair[:, 0], pair[:, 1]
-            if table_ is None:  # known in full: the bit's own occurrence is taken off
-                zeros, ones = np.maximum(zeros - (bit ^ 1), 0), np.maximum(ones - bit, 0)
-            grades.append(_grade(zeros, ones))
-            if len(grades) > 1:
-                levels.append(_level(zeros + ones))
-        at = (kind * DEPTHS + depth) * 9 + 3 * levels[0] + levels[1]
+    def _fit(self, kind: int, low: np.ndarray, slots: list[np.ndarray]) -> None:
+        bit = low & 1
+        at = (low >> 1).astype(np.int64)
+        at += kind * DEPTHS
+        at *= 9
+        grades = []
+        for k, (table_, slot) in enumerate(zip(self.tables[kind], slots, strict=True)):
+            if table_ is None:
+                grades.append(self.own_grade.take(slot * 2 + bit))
+                continue
+            grade, level = _met(table_.view(np.uint64).take(slot))
+            grades.append(grade)
+            if k:
+                at += level * 3 if k == 1 else level
         for g in grades:
             at *= GRADES
             at += g

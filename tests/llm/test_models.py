@@ -242,3 +242,23 @@ def test_quality_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i % 50, i % 2) for i in range(150)], "doc_id long, quality int")
     assert len(knn_quality.train(docs, labels, sample=20).label) == 20
     assert len(knn_quality.train(docs, labels).label) == 50
+
+
+def test_weights_are_fitted_on_every_bit():
+    rng = random.Random(6)
+    words = cm.Words(*cm.text_buffer(cm.pa.array([text(rng, "en", 400) for _ in range(40)])))
+    hashes, counts = np.unique(words.hash, return_counts=True)
+    keep = counts >= 2
+    coder = cm.Coder(hashes[keep], counts[keep], int(counts[~keep].sum()), 40, np.ones(256 * 256, np.int64), 16)
+    counter, streams = cm.Counter(coder), coder.streams(words)[1]
+    for _ in range(2):
+        counter.add(streams)
+    list(counter.rows(0))
+    assert counter.met.sum() == 2 * sum(len(low) for _, low, _ in streams) > 50_000
+
+
+def test_looked_up_grades_are_the_computed_ones():
+    counts = np.random.default_rng(1).integers(0, 1 << np.arange(1, 21).repeat(500)[:, None], (10_000, 2)).astype(np.uint32)
+    grade, level = cm._met(counts.view(np.uint64).reshape(-1))
+    zeros, ones = counts.astype(np.float32).T
+    assert np.array_equal(grade, cm._grade(zeros, ones)) and np.array_equal(level, cm._level(zeros + ones))
