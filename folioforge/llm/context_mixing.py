@@ -6,7 +6,7 @@ spelled in bytes, with a code for each previous byte. Every code bit is predicte
 count of zeros and ones in a context:
 
 * of a word's code: the node alone; node and the last very frequent word, which tells the language;
-  node and the previous word, hashed;
+  node and the previous word, hashed (the word names a place, and the nodes lie from there on);
 * of a byte's code: node and the previous two, three and four bytes, hashed.
 
 The predictions meet in the logistic domain. Their weights are gated: the node's depth and how
@@ -33,7 +33,6 @@ names, are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
@@ -46,7 +45,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import fold, stored, table
 from .grouping import by_key
-from .texthash import Words, chunks, lower_ascii, text_buffer, trimmed
+from .texthash import Words, chunks, lower_ascii, mix64, text_buffer, trimmed
 
 SYMBOLS = 1 << 18
 #: Rarer words are spelled, so that the escape and the bytes are learned from words like unseen ones.
@@ -68,12 +67,18 @@ FAN_IN = 256
 GRADES, GRADE = 11, 1.6
 #: Of so many bits one is fitted on: all are.
 STRIDE = 1
-#: Bits that are fitted on at a time, and counts below which grades and levels are looked up.
+#: Bits that are fitted on at a time.
 FIT_BITS = 1 << 16
-SMALL_COUNT = 256
 SETS = 2 * DEPTHS * 9
+#: What a fitted bit met: its depth, level * GRADES + grade in the second and third context, grade in the first, outcome.
+SEEN = 3 * GRADES
+MET = 2 * DEPTHS * SEEN**2 * GRADES * 2
 #: Kinds of counts.
 WORD_COUNT, END_COUNT, BYTE_COUNT = 0, 1, 2
+#: Levels of a code's tree whose nodes are numbered side by side, so that a path meets few cache lines of a table.
+LEVELS = 4
+#: Symbols whose paths are laid out at a time.
+PATHS = 1 << 14
 #: Bytes of context of the predictors of a byte's code.
 ORDERS = (2, 3, 4)
 _SEPARATORS = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
@@ -84,11 +89,6 @@ STEPS = 64
 _GRID = (np.arange(32 * STEPS + 1) + 0.5) / STEPS
 #: Bits to code a one, then a zero, at twice a stretched probability from -16 on; and its squashed value from -8 on.
 _COST = np.concatenate([np.logaddexp(0, -(_GRID - 16) / 2), np.logaddexp(0, (_GRID - 16) / 2)]) / np.log(2)
-_OUTCOME = np.array([len(_COST) // 2, 0])
-#: A cell is a byte: a stretched probability in steps of 1/4 from -8 on and, in the low two bits, how often it was seen.
-_VALUE = ((np.arange(256) >> 2) / 4 - 7.875).astype(np.float32)
-_LEVEL = np.arange(256) & 3
-_LEVEL_3 = 3 * _LEVEL
 _SQUASH = (1 / (1 + np.exp(8 - _GRID[: 16 * STEPS + 1]))).astype(np.float32)
 
 
@@ -120,8 +120,24 @@ def huffman_lengths(counts: np.ndarray) -> np.ndarray:
     return depth[:n]
 
 
+def _times(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that occur, and how often; sorts the array in place."""
+    at.sort()
+    first = np.flatnonzero(np.concatenate([[len(at) > 0], at[1:] != at[:-1]]))
+    return at.take(first), np.diff(first, append=len(at))
+
+
+def _slots(context: np.ndarray, size: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of the nodes of symbols in hashed contexts: a context names a place, and its nodes lie from there on."""
+    place = mix64(context) >> np.uint64(64 - bits)
+    slot = np.repeat(place.view(np.int64), size)
+    slot += node
+    slot &= (1 << bits) - 1
+    return slot
+
+
 class Code:
-    """Canonical prefix code with its inner nodes numbered from the root, level by level."""
+    """Canonical prefix code with its inner nodes numbered from the root, block of LEVELS levels by block."""
 
     def __init__(self, lengths: np.ndarray):
         self.length = lengths
@@ -137,19 +153,39 @@ class Code:
         rank = np.arange(len(order)) - np.searchsorted(lengths[order], lengths[order])
         self.code = np.empty(len(lengths), np.int64)
         self.code[order] = 2 * np.array([0, *low[:-1]])[lengths[order]] + rank
-        self.shift = np.array(base) - np.array(low)
+        self.shift = np.array(base) - np.array(low)  # from a prefix to its number in a count level by level
+        self.low, self.inside = low, inside
         self._paths = None
 
+    def _numbers(self) -> np.ndarray:
+        """Number of each inner node, counted level by level."""
+        keys = []
+        for d, (low, n) in enumerate(zip(self.low, self.inside, strict=True)):
+            prefix, below = low + np.arange(n), d % LEVELS
+            root = (prefix >> below) + self.shift[d - below]
+            keys.append((root << LEVELS) + (1 << below) + (prefix & (1 << below) - 1))
+        out = np.empty(self.nodes, np.int64)
+        out[np.argsort(np.concatenate(keys))] = np.arange(self.nodes)
+        return out
+
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each symbol where its path starts; the steps of all paths: node << 8 | depth group << 1 | bit."""
+        """For each symbol where its path starts; the steps of all paths: node << 8 | depth group << 1 | bit.
+
+        Paths lie by length, so those of frequent symbols are together.
+        """
         if self._paths is None:
-            size = self.length
-            start = np.cumsum(size) - size
-            depth = np.arange(int(size.sum())) - np.repeat(start, size)
-            rest = np.repeat(size, size) - depth
-            code = np.repeat(self.code, size)
-            node = (code >> rest) + self.shift[depth]
-            self._paths = start, (node << 8 | np.minimum(depth, DEPTHS - 1) << 1 | (code >> (rest - 1)) & 1).astype(np.int32)
+            order = np.argsort(self.length, kind="stable")
+            start = np.empty(len(order), np.int64)
+            start[order] = np.cumsum(self.length[order]) - self.length[order]
+            path, number = np.empty(int(self.length.sum()), np.int32), self._numbers()
+            for some in (order[k : k + PATHS] for k in range(0, len(order), PATHS)):
+                size = self.length[some]
+                depth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                rest = np.repeat(size, size) - depth
+                code = np.repeat(self.code[some], size)
+                node = number.take((code >> rest) + self.shift[depth])
+                path[start[some[0]] :][: len(node)] = node << 8 | np.minimum(depth, DEPTHS - 1) << 1 | (code >> (rest - 1)) & 1
+            self._paths = start, path
         return self._paths
 
     def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -166,7 +202,8 @@ class Code:
     def totals(self, weight: np.ndarray) -> np.ndarray:
         """Weight of zeros and of ones below each node."""
         _, path = self.paths()
-        each = np.repeat(weight, self.length)
+        order = np.argsort(self.length, kind="stable")
+        each = np.repeat(weight[order], self.length[order])
         return np.bincount((path >> 8).astype(np.int64) * 2 + (path & 1), each, 2 * self.nodes).reshape(-1, 2)
 
     def __getstate__(self):
@@ -186,7 +223,8 @@ class ConditionalCode(Code):
         if self._paths is None:
             above = np.cumsum([0, *(c.nodes for c in self.parts)])
             steps = np.concatenate([c.paths()[1] + np.int32(n << 8) for c, n in zip(self.parts, above, strict=False)])
-            self._paths = np.cumsum(self.length) - self.length, steps
+            first = np.cumsum([0, *(c.length.sum() for c in self.parts)])
+            self._paths = np.concatenate([c.paths()[0] + n for c, n in zip(self.parts, first, strict=False)]), steps
         return self._paths
 
 
@@ -220,7 +258,7 @@ class Coder:
             return np.full(len(hashes), escape)
         top = np.uint64(64 - 20)
         if self._index is None:  # where the words of each leading 20 bits start
-            self._index = np.searchsorted(words >> top, np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int64)
+            self._index = np.searchsorted(words >> top, np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
         lead = (hashes >> top).astype(np.int64)
         at, end = self._index.take(lead), self._index.take(lead + 1)
         out = np.full(len(hashes), escape)
@@ -234,8 +272,12 @@ class Coder:
             rows, at, end, wanted = rows[more], at[more], end[more], wanted[more]
         return out
 
-    def streams(self, words: Words) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-        """Symbols of the words; for words and bytes: code bits of each document, and of each bit the depth group << 1 | bit and slots."""
+    def streams(self, words: Words, merged: bool = False) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Symbols of the words; for words and bytes: code bits of each document, and of each bit the depth group << 1 | bit and slots.
+
+        Merged, the bits of words are in no document's order: tokens equal in all contexts come once, those behind
+        the same word side by side, and a fourth array says how often each bit occurs.
+        """
         docs = len(words.first) - 1
         count = words.counts
         symbol = self.find(words.hash)
@@ -253,19 +295,20 @@ class Coder:
         np.maximum.accumulate(np.where(mark > 0, np.arange(len(token)), -1)[:-1], out=latest[1:])
         latest = np.where(latest >= first[doc], mark[latest], 0)
         latest[first] = 0
-        before = np.ones(len(token), np.uint64)
+        before = np.ones(len(token), np.int64)
         before[1:] = token[:-1] + 2
         before[first] = 1
-        before *= np.uint64(0x9E3779B97F4A7C15)
 
+        if merged:
+            key, times = _times((before * (len(self.words) + 2) + token) * (MARKERS + 1) + latest)
+            key, latest = np.divmod(key, MARKERS + 1)
+            before, token = np.divmod(key, len(self.words) + 2)
         size, node, low = self.code.steps(token)
-        key = node.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        key ^= np.repeat(before, size)
-        key *= np.uint64(0xD6E8FEB86659FD93)
-        key >>= np.uint64(64 - self.slot_bits)
+        per_doc = None if merged else np.bincount(doc, size, docs).astype(np.int64)
+        more = [np.repeat(times, size)] if merged else []
         marked = np.repeat(latest * self.code.nodes, size)
         marked += node
-        word_bits = (np.bincount(doc, size, docs).astype(np.int64), low, [node, marked, key.view(np.int64)])
+        word_bits = (per_doc, low, [node, marked, _slots(before.view(np.uint64), size, node, self.slot_bits)], *more)
 
         gone = np.flatnonzero(symbol == len(self.words) + 1)
         size = words.end[gone] - words.start[gone] + 1  # and the space that ends it
@@ -287,14 +330,7 @@ class Coder:
         previous = np.full(len(letter), 32)
         previous[1:] = np.where(within[1:] > 0, letter[:-1], 32)
         size, node, low = self.letters.steps(previous * 256 + letter)
-        root = node.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        slots = []
-        for k in ORDERS:
-            key = np.repeat(past[k - 1], size)
-            key ^= root
-            key *= np.uint64(0xD6E8FEB86659FD93)
-            key >>= np.uint64(64 - BYTE_SLOT_BITS)
-            slots.append(key.view(np.int64))
+        slots = [_slots(past[k - 1], size, node, BYTE_SLOT_BITS) for k in ORDERS]
         return symbol, [word_bits, (np.bincount(owner, size, docs).astype(np.int64), low, slots)]
 
 
@@ -306,21 +342,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = np.zeros(256 * 256, np.int64)
 
     def flush():
-        keys = np.concatenate([k for k, _ in held])
-        keys, inverse = np.unique(keys, return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys = keys.take(order)
+        first = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
+        return keys.take(first), np.add.reduceat(n.take(order), first) if len(first) else n
 
     for batch in chunks(batches):
         buffer, offsets = text_buffer(batch.column("text"))
         low = lower_ascii(buffer)
         words = Words(low, offsets)
-        keys, n = np.unique(words.hash, return_counts=True)
+        keys, n = _times(words.hash.copy())
         ends += batch.num_rows
         if len(words.hash):
-            before = np.full(len(low), 32, np.int64)
-            before[1:] = low[:-1]
-            before[words.start] = 32
-            pairs = np.bincount(before * 256 + low, minlength=len(letters)).reshape(256, 256)
+            pair = np.full(len(low), 32, np.uint16)
+            pair[1:] = low[:-1]
+            pair[words.start] = 32
+            pair <<= 8
+            pair |= low
+            pairs = np.bincount(pair, minlength=len(letters)).reshape(256, 256)
             pairs[:, _SEPARATORS] = 0
             pairs[:, 32] = np.bincount(low[words.end - 1], minlength=256)
             letters += pairs.reshape(-1)
@@ -349,27 +389,19 @@ def _grade(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.clip(x, -8, 8) / np.float32(GRADE) + np.float32(GRADES / 2)).astype(np.int64)
 
 
-@functools.cache
-def _small() -> tuple[np.ndarray, np.ndarray]:
-    """Grade and level of counts below SMALL_COUNT, at ones * SMALL_COUNT + zeros."""
-    ones, zeros = (x.astype(np.float32) for x in np.divmod(np.arange(SMALL_COUNT**2), SMALL_COUNT))
-    return _grade(zeros, ones).astype(np.uint8), _level(zeros + ones).astype(np.uint8)
-
-
 def _met(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Grades and levels of zeros and ones (uint32) that lie side by side."""
-    grade, level = _small()
-    zeros, ones = (pairs.view(np.uint32)[k::2] for k in range(2))
-    small = (zeros | ones) < SMALL_COUNT
-    at = ones * np.uint32(SMALL_COUNT)
-    at += zeros
-    at *= small
-    out, seen = grade.take(at), level.take(at)
-    rest = np.flatnonzero(~small)
-    if len(rest):
-        out[rest] = _grade(zeros[rest].astype(np.float32), ones[rest].astype(np.float32))
-        seen[rest] = 2
-    return out, seen
+    count = pairs.view(np.uint32).astype(np.float32)
+    n = count[::2] + count[1::2]
+    level = (n > 0).view(np.uint8) + (n >= 12)
+    count += np.float32(0.4)
+    x = np.divide(count[1::2], count[::2], out=n)
+    np.log(x, out=x)
+    np.maximum(x, -8, out=x)
+    np.minimum(x, 8, out=x)
+    x /= np.float32(GRADE)
+    x += np.float32(GRADES / 2)
+    return x.astype(np.int32), level
 
 
 class Counter:
@@ -381,54 +413,47 @@ class Counter:
         # The node's counts are known in full: the bit's own occurrence is taken off.
         alone = coder.code.totals(coder.weight).astype(np.float32)
         taken = [np.maximum(alone - np.eye(2, dtype=np.float32)[bit], 0) for bit in range(2)]
-        self.own_grade = np.stack([_grade(x[:, 0], x[:, 1]) for x in taken], 1).astype(np.uint8).reshape(-1)
-        self.met = np.zeros(SETS * GRADES**PREDICTORS * 2, np.int64)
-        self.held: list[np.ndarray] = []
+        grade = [_grade(x[:, 0], x[:, 1]).astype(np.uint8) for x in taken]
+        self.own_grade = grade[0] | grade[1] << 4
+        self.met = np.zeros(MET, np.int64)
 
     def add(self, streams: list[tuple[np.ndarray, ...]]) -> None:
-        for kind, (_, low, slots) in enumerate(streams):
+        for kind, (_, low, slots, *more) in enumerate(streams):
             if not len(low):
                 continue
-            bit = low & 1
+            times = more[0] if more else np.ones(len(low), np.int64)
             for first in range(0, len(low), FIT_BITS):
                 some = slice(first, first + FIT_BITS, STRIDE)
-                self._fit(kind, low[some], [s[some] for s in slots])
+                self._fit(kind, low[some], [s[some] for s in slots], times[some])
+            times = times.astype(np.uint32) if more else np.uint32(1)
+            bit = (low & 1).astype(np.int64)
             for table_, slot in zip(self.tables[kind], slots, strict=True):
                 if table_ is not None:
                     at = slot * 2
                     at += bit
-                    np.add.at(table_, at, np.uint32(1))
+                    np.add.at(table_, at, times)
 
-    def _fit(self, kind: int, low: np.ndarray, slots: list[np.ndarray]) -> None:
+    def _fit(self, kind: int, low: np.ndarray, slots: list[np.ndarray], times: np.ndarray) -> None:
         bit = low & 1
-        at = (low >> 1).astype(np.int64)
-        at += kind * DEPTHS
-        at *= 9
-        grades = []
-        for k, (table_, slot) in enumerate(zip(self.tables[kind], slots, strict=True)):
-            if table_ is None:
-                grades.append(self.own_grade.take(slot * 2 + bit))
-                continue
+        at = (low >> 1).astype(np.int32)
+        at += np.int32(kind * DEPTHS)
+        for table_, slot in zip(self.tables[kind][1:], slots[1:], strict=True):
             grade, level = _met(table_.view(np.uint64).take(slot))
-            grades.append(grade)
-            if k:
-                at += level * 3 if k == 1 else level
-        for g in grades:
-            at *= GRADES
-            at += g
-        at *= 2
-        at += bit
-        self.held.append(at)
-        if sum(map(len, self.held)) > len(self.met):
-            self._settle()
-
-    def _settle(self) -> None:
-        if self.held:
-            self.met += np.bincount(np.concatenate(self.held), minlength=len(self.met))
-            self.held = []
+            level *= np.uint8(GRADES)
+            grade += level.astype(np.int32)
+            at *= np.int32(SEEN)
+            at += grade
+        if self.tables[kind][0] is None:
+            grade = self.own_grade.take(slots[0]) >> (bit << 2) & 15
+        else:
+            grade, _ = _met(self.tables[kind][0].view(np.uint64).take(slots[0]))
+        at *= np.int32(GRADES)
+        at += grade.astype(np.int32)
+        at *= np.int32(2)
+        at += bit.astype(np.int32)
+        np.add.at(self.met, at.astype(np.int64), times)
 
     def rows(self, salt: int) -> Iterator[pa.RecordBatch]:
-        self._settle()
         for place, table_ in enumerate([*(t for kind in self.tables for t in kind if t is not None), self.met]):
             yield _sparse(place, np.concatenate([table_, np.zeros(-len(table_) % RANGE, table_.dtype)]), salt)
 
@@ -438,7 +463,7 @@ def _count(coder: Coder, salts: int):
         counter = Counter(coder)
         for batch in chunks(batches, limit=CHUNK):
             buffer, offsets = text_buffer(batch.column("text"))
-            counter.add(coder.streams(Words(lower_ascii(buffer), offsets))[1])
+            counter.add(coder.streams(Words(lower_ascii(buffer), offsets), merged=True)[1])
         yield from counter.rows(TaskContext.get().partitionId() % salts)
 
     return trimmed(run)
@@ -492,6 +517,7 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 
 def _cells(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """A byte each: a stretched probability in steps of 1/4 from -8 on and, in the low two bits, how often it was seen."""
     step = np.minimum(((_stretch(zeros, ones) + 8) * 4).astype(np.uint8), 63)
     return step << 2 | _level(zeros + ones).astype(np.uint8)
 
@@ -507,7 +533,7 @@ class Mixer:
         alone = coder.code.totals(coder.weight)
         self.cells[0][0] = _cells(alone[:, 0], alone[:, 1])
         targets = [t for kind, tables in enumerate(self.cells) for k, t in enumerate(tables) if kind or k]
-        met = np.zeros(-(-SETS * GRADES**PREDICTORS * 2 // RANGE) * RANGE, np.int64)
+        met = np.zeros(-(-MET // RANGE) * RANGE, np.int64)
         for row in rows:
             counts = _dense(row.used, row.counts, row.large)
             if row.place == len(targets):
@@ -518,7 +544,7 @@ class Mixer:
         self.weight = np.full((SETS, PREDICTORS), 0.4, np.float32)
         self.refined = np.tile(np.linspace(-8, 8, 33, dtype=np.float32), (2 * DEPTHS, 1))
         self.fitted = 0  # bits that the weights are fitted on
-        self.fit(met[: SETS * GRADES**PREDICTORS * 2])
+        self.fit(met[:MET])
 
     def fit(self, met: np.ndarray, rounds: int = 20) -> None:
         """Learn weights (Newton steps for each set) and table from what the tasks met."""
@@ -529,10 +555,13 @@ class Mixer:
         ones, n = met[used, 1].astype(float), met[used].sum(1).astype(float)
         self.fitted = int(n.sum())
         x, rest = np.zeros((len(used), PREDICTORS)), used
-        for k in reversed(range(PREDICTORS)):
-            rest, grade = np.divmod(rest, GRADES)
+        gate = 0
+        for k, steps, times in ((0, GRADES, 0), (2, SEEN, 1), (1, SEEN, 3)):
+            rest, seen = np.divmod(rest, steps)
+            level, grade = np.divmod(seen, GRADES)
             x[:, k] = (grade - GRADES // 2) * GRADE
-        gate = rest
+            gate += level * times
+        gate += rest * 9
         weight, start = np.full((SETS, PREDICTORS), 0.4), 0.4
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-(x * weight[gate]).sum(1)))
@@ -551,11 +580,11 @@ class Mixer:
     def cost(self, docs: int, streams: list[tuple[np.ndarray, ...]]) -> np.ndarray:
         """Bits of each document."""
         out = np.zeros(docs)
-        weight = np.ascontiguousarray(self.weight.T)
-        refined = self.refined.reshape(-1)
         for kind, (per_doc, low, slots) in enumerate(streams):
             if not len(low):
                 continue
+            weight = np.ascontiguousarray(self.weight.reshape(2, -1, PREDICTORS)[kind].T)
+            refined = self.refined[kind * DEPTHS : (kind + 1) * DEPTHS].reshape(-1)
             found = [t.take(slot) for t, slot in zip(self.cells[kind], slots, strict=True)]
             # Blocks of each document in turn: all first blocks, then all second ones ...
             edges = np.concatenate([[0], np.cumsum(per_doc)])
@@ -575,37 +604,41 @@ class Mixer:
                 rows = np.repeat(start - first, size)
                 rows += np.arange(len(rows))
                 ones = low.take(rows)
-                depth = (ones >> 1).astype(np.int64)
-                depth += kind * DEPTHS
+                depth = ones >> 1
                 ones &= 1
-                cells = [c.take(rows).astype(np.int64) for c in found]
-                gate = depth * 9
-                gate += _LEVEL_3.take(cells[1])
-                gate += _LEVEL.take(cells[2])
+                cells = [c.take(rows) for c in found]
+                gate = depth * np.uint8(9)
+                gate += (cells[1] & 3) * np.uint8(3)
+                gate += cells[2] & 3
+                gate = gate.astype(np.int64)
                 mixed, x = None, []
                 for k in range(PREDICTORS):
-                    x.append(_VALUE.take(cells[k]))
+                    value = (cells[k] >> 2).astype(np.float32)
+                    value /= np.float32(4)
+                    value -= np.float32(7.875)
+                    x.append(value)
                     w = weight[k].take(gate)
                     if b:
                         w += np.repeat(own[k, live], size)
-                    w *= x[k]
+                    w *= value
                     mixed = w if mixed is None else np.add(mixed, w, out=mixed)
                 np.maximum(mixed, -8, out=mixed)
                 np.minimum(mixed, 8, out=mixed)
-                depth *= 33
-                depth += ((mixed + np.float32(8.25)) * np.float32(2)).astype(np.int64)
-                final = refined.take(depth)  # with the mixed one, twice the mean of both
+                at = depth.astype(np.int32)
+                at *= np.int32(33)
+                at += ((mixed + np.float32(8.25)) * np.float32(2)).astype(np.int32)
+                final = refined.take(at)  # with the mixed one, twice the mean of both
                 final += mixed
                 final += np.float32(16)
                 final *= np.float32(STEPS)
                 # Both tables are read at the same step, so the two outcomes of a bit sum to 1.
-                step = final.astype(np.int64)
-                step += _OUTCOME.take(ones)
+                step = final.astype(np.int32)
+                step += (ones ^ 1).astype(np.int32) * np.int32(len(_COST) // 2)
                 out[live] += np.add.reduceat(_COST.take(step), first)
                 if (edges[live + 1] - start > length).any():  # another block will follow
                     mixed += np.float32(8)
                     mixed *= np.float32(STEPS)
-                    miss = ones - _SQUASH.take(mixed.astype(np.int64))
+                    miss = ones - _SQUASH.take(mixed.astype(np.int32))
                     scale = RATE / (size + 64).astype(np.float32)
                     for k in range(PREDICTORS):
                         x[k] *= miss

@@ -262,3 +262,32 @@ def test_looked_up_grades_are_the_computed_ones():
     grade, level = cm._met(counts.view(np.uint64).reshape(-1))
     zeros, ones = counts.astype(np.float32).T
     assert np.array_equal(grade, cm._grade(zeros, ones)) and np.array_equal(level, cm._level(zeros + ones))
+
+
+def test_tokens_merged_for_counting_count_the_same():
+    rng = random.Random(8)
+    texts = [text(rng, lang, 300) for lang in list(SYLLABLES) * 4]
+    words = cm.Words(*cm.text_buffer(cm.pa.array([*texts, "", *texts[:5], "once"])))
+    hashes, counts = np.unique(words.hash, return_counts=True)
+    keep = counts >= 2
+    coder = cm.Coder(hashes[keep], counts[keep], int(counts[~keep].sum()), len(texts) + 7, np.ones(256 * 256, np.int64), 16)
+    single, merged = cm.Counter(coder), cm.Counter(coder)
+    for _ in range(3):  # from the second time on, bits are fitted on counts
+        single.add(coder.streams(words)[1])
+        merged.add(coder.streams(words, merged=True)[1])
+    for a, b in zip(single.tables[0][1:] + single.tables[1], merged.tables[0][1:] + merged.tables[1], strict=True):
+        assert a.any() and np.array_equal(a, b)
+    assert np.array_equal(single.met, merged.met)
+    bits, fewer = (coder.streams(words, merged=m)[1][0] for m in (False, True))
+    assert len(fewer[1]) < 0.9 * len(bits[1]) and fewer[3].sum() == len(bits[1])
+
+
+def test_a_path_meets_few_blocks_of_nodes():
+    lengths = cm.huffman_lengths((1e6 / np.arange(1, 5001)).astype(np.int64))
+    code = cm.Code(lengths)
+    size, node, _ = code.steps(np.arange(5000))
+    assert np.array_equal(np.unique(node), np.arange(code.nodes))
+    depth = np.arange(len(node)) - np.repeat(np.cumsum(size) - size, size)
+    root = node[np.arange(len(node)) - depth % cm.LEVELS]
+    assert size.max() > 2 * cm.LEVELS and ((node >= root) & (node < root + (1 << cm.LEVELS) - 1)).all()
+    assert len(np.unique(np.stack([np.repeat(np.arange(5000), size), root]), axis=1).T) == np.sum(-(-size // cm.LEVELS))
